@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronostrata.functions.instants import CANONICAL, with_instant
-from chronostrata.operators import merkle, snapdiff, snapshots
-from chronostrata.session import load, utc_text
+from chronostrata.operators import asof, islands, merkle, snapdiff, snapshots
+from chronostrata.session import load, micros, utc_text
 
 # The payload columns of update_snapshot.
 PAYLOAD = ["mpg", "cyl", "disp", "hp", "drat", "wt", "qsec", "vs", "am", "gear", "carb"]
@@ -32,9 +32,20 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return versions.select(F.col("entity").alias("db_table"), F.col("key").alias("name"), utc_text("from_us").alias("from_utc"), F.coalesce(utc_text("until_us"), F.lit("")).alias("until_utc"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = islands.periods_and_gaps(load(spark, d, "interlace"), ["key_id"], "valid_from", "valid_until")
+    return found.select("key_id", "kind", utc_text("from_us").alias("from_utc"), F.coalesce(utc_text("until_us"), F.lit("")).alias("until_utc"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    events = load(spark, d, "observations").select("obs_id", "region_id", micros("obs_ts").alias("t"))
+    versions = load(spark, d, "slice_time").select("rec_id", "region_id", micros("from_ts").alias("from_us"), micros("until_ts").alias("until_us"))
+    return asof.as_of(events, versions, ["region_id"], "t", "from_us", "until_us", "rec_id", "inner", ["obs_id"], ["rec_id"]).distinct()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return snapdiff.consecutive(_records(spark, d)).select(F.col("entity").alias("db_table"), F.col("key").alias("name"), utc_text("at").alias("at_utc"), "kind")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
 SQL: dict[str, str] = {}
