@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronostrata.functions.instants import CANONICAL, with_instant
-from chronostrata.operators import asof, islands, merkle, snapdiff, snapshots
-from chronostrata.session import load, micros, utc_text
+from chronostrata.operators import asof, cow, islands, merkle, snapdiff, snapshots, watermark
+from chronostrata.session import load, micros, scratch, shuffle_width, utc_text
 
 # The payload columns of update_snapshot.
 PAYLOAD = ["mpg", "cyl", "disp", "hp", "drat", "wt", "qsec", "vs", "am", "gear", "carb"]
@@ -47,5 +47,26 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return snapdiff.consecutive(_records(spark, d)).select(F.col("entity").alias("db_table"), F.col("key").alias("name"), utc_text("at").alias("at_utc"), "kind")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    feed = with_instant(load(spark, d, "delta_load").where("col1 IS NOT NULL"), load(spark, d, "writers"), "until_ts", "end_us")
+    changes = feed.select("delta_no", "col1", "col2", micros("from_ts").alias("from_us"), F.col("end_us").isNotNull().alias("ended"))
+    schema = changes.drop("delta_no").schema
+    table = cow.BucketedTable(spark, scratch(spark, "delta-load"), schema, ["col1"], "from_us", "ended", buckets=4 * shuffle_width(spark))
+    middle = load(spark, d, "delta_load").agg(F.expr("(min(delta_no) + max(delta_no)) div 2")).first()[0] or 0
+    for part in (F.col("delta_no") <= middle, F.coalesce(F.col("delta_no") > middle, F.lit(True))):
+        table.apply(changes.where(part))
+    payload = F.concat_ws("_", "col1", F.coalesce(F.col("col2").cast("string"), F.lit("")))
+    return table.read().select("col1", utc_text("from_us").alias("from_utc"), F.md5(payload).alias("checksum"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    runs = load(spark, d, "run_log").select(F.col("run_id").alias("run"), F.col("db_table").alias("entity"), micros("log_date").alias("bound"), micros("start_time").alias("start"), "success")
+    records = load(spark, d, "delta_export").select(F.col("rec_id").alias("record"), F.col("db_table").alias("entity"), F.array(micros("from_ts"), micros("until_ts")).alias("instants"))
+    export = watermark.WatermarkExport(spark, scratch(spark, "delta-export"))
+    bound = runs.where("success").agg(F.max("bound")).first()[0]
+    export.commit(watermark.replay(runs, records).select(F.col("run").alias("run_id"), F.col("record").alias("rec_id")), bound)
+    return export.read()
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found}
 SQL: dict[str, str] = {}
