@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from chronostrata.session import bounded_broadcast, shuffle_width
 
-#: At most this many entities are ever divided: each has over 1 / MAX_DIVIDED of all rows.
-MAX_DIVIDED = 2048
+#: At most this many entities are ever divided, as each has over 1 / MAX_DIVIDED of all rows; their list is a few MB.
+MAX_DIVIDED = 65_536
 
 
 def payload_hashes(columns: list[str]) -> list[Column]:

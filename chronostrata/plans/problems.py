@@ -69,4 +69,21 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found}
-SQL: dict[str, str] = {}
+_TEXT = "strftime(make_timestamp({}), '%Y-%m-%dT%H:%M:%S.%fZ')"
+
+#: p1, p2, p5 and p6 begin with mixed spellings of instants, which SQL can't read; tests compare them with brute force.
+SQL = {
+    "p3_found": f"""WITH i AS (SELECT key_id, epoch_us(valid_from) AS s, CASE WHEN valid_until IS NULL OR valid_until >= TIMESTAMP '9999-01-01' THEN 9223372036854775807 ELSE epoch_us(valid_until) END AS e
+            FROM interlace WHERE key_id IS NOT NULL AND valid_from IS NOT NULL AND (valid_until IS NULL OR valid_until > valid_from)),
+        a AS (SELECT *, max(e) OVER (PARTITION BY key_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
+        b AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY key_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM a),
+        p AS (SELECT key_id, g, min(s) AS s, max(e) AS e FROM b GROUP BY key_id, g),
+        q AS (SELECT key_id, s, CASE WHEN e = 9223372036854775807 THEN NULL ELSE e END AS e, lead(s) OVER (PARTITION BY key_id ORDER BY s) AS nx FROM p)
+        SELECT key_id, 'period' AS kind, {_TEXT.format('s')} AS from_utc, coalesce({_TEXT.format('e')}, '') AS until_utc FROM q
+        UNION ALL SELECT key_id, 'gap', {_TEXT.format('e')}, {_TEXT.format('nx')} FROM q WHERE nx IS NOT NULL""",
+    "p4_found": """SELECT DISTINCT obs_id, rec_id FROM (SELECT o.obs_id, s.rec_id, row_number() OVER (PARTITION BY o.obs_id, o.region_id, o.obs_ts ORDER BY s.from_ts DESC, s.rec_id DESC) AS n
+        FROM observations AS o JOIN slice_time AS s ON s.region_id = o.region_id AND s.from_ts <= o.obs_ts AND (s.until_ts IS NULL OR o.obs_ts < s.until_ts)) AS q WHERE n = 1""",
+    "p7_found": """WITH r AS (SELECT run_id, db_table, max(log_date) AS log_date, min(start_time) AS start_time FROM run_log GROUP BY run_id, db_table HAVING bool_or(success)),
+        w AS (SELECT r.run_id, r.db_table, r.log_date, max(e.log_date) AS low FROM r LEFT JOIN r AS e ON e.db_table = r.db_table AND e.start_time < r.start_time GROUP BY r.run_id, r.db_table, r.log_date)
+        SELECT DISTINCT w.run_id, x.rec_id FROM w JOIN delta_export AS x ON x.db_table = w.db_table AND ((x.from_ts < w.log_date AND (w.low IS NULL OR x.from_ts >= w.low)) OR (x.until_ts < w.log_date AND (w.low IS NULL OR x.until_ts >= w.low)))""",
+}
