@@ -4,36 +4,51 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronostrata.operators import axis as axes
+from chronostrata.operators import rangescan
+from chronostrata.session import cut, micros
+
+#: An open end, as the last instant of an axis.
+OPEN = 2**63 - 1
+
 
 def interlace(tables: list[DataFrame], by: str | list[str], colnames: dict[str, str] | None = None) -> DataFrame:
     """Key, the tables' columns, valid_from, valid_until: for each stretch between two consecutive endpoints of a key, the
     values that each table holds there (null where it holds none).
 
-    ``colnames`` maps 't1.from', 't1.until', 't2.from' ... to the tables' own names of the validity columns. Endpoints
-    come from one union and one sort per key (``lead``); the tables are then joined by key and containment. Rows of
-    one table that overlap each other give one row each. Null keys form a key of their own.
+    ``colnames`` maps 't1.from', 't1.until', 't2.from' ... to the tables' own names of the validity columns. Rows of one
+    table that overlap each other give one row each; rows that end before or when they begin hold nowhere, and rows
+    without a start neither. Null keys form a key of their own.
+
+    The stretches of a key are numbered by one range-sorted scan. A table's row covers the numbers from the stretch that
+    begins with it to the one that ends with it, so containment becomes plain equality of (key, number): no join looks
+    at pairs that don't match, and a key with much of the data spreads over all partitions.
     """
     keys = [by] if isinstance(by, str) else list(by)
     if not keys:
         raise ValueError("name at least one key")
     if len(tables) == 1:
         return tables[0]
-    named = []
+    named, values = [], []
     for k, table in enumerate(tables, 1):
-        names = {(colnames or {}).get(f"t{k}.from", "valid_from"): "valid_from", (colnames or {}).get(f"t{k}.until", "valid_until"): "valid_until"}
-        named.append(table.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in table.columns]))
-    values = [[c for c in t.columns if c not in (*keys, "valid_from", "valid_until")] for t in named]
+        start, end = (colnames or {}).get(f"t{k}.from", "valid_from"), (colnames or {}).get(f"t{k}.until", "valid_until")
+        own = [c for c in table.columns if c not in (*keys, start, end)]
+        named.append(table.select(rangescan.entity_text(table, keys).alias("_key"), F.coalesce(micros(start), F.lit(OPEN)).alias("_f"), F.coalesce(micros(end), F.lit(OPEN)).alias("_u"), *[F.col(f"`{c}`") for c in own]))
+        values.append(own)
     if clash := {c for k, v in enumerate(values) for c in v if any(c in w for w in values[:k])}:
         raise ValueError(f"columns of more than one table: {', '.join(sorted(clash))}")
-    points = reduce(DataFrame.union, [t.select(*keys, F.explode(F.array("valid_from", "valid_until")).alias("valid_from")) for t in named]).distinct()
-    w = Window.partitionBy(*keys).orderBy(F.col("valid_from").asc_nulls_last())
-    axis = points.withColumns({"valid_until": F.lead("valid_from").over(w), "_next": F.lead(F.lit(1)).over(w)}).where("_next = 1").drop("_next")
+    points = reduce(DataFrame.union, [t.select(F.col("_key").alias("key"), F.explode(F.array("_f", "_u")).alias("t")) for t in named])
+    axis = cut(axes.stretches(points))
+    result = axis
+    first, last = axis.select(F.col("key").alias("_k1"), F.col("f").alias("_f1"), F.col("n").alias("_a")), axis.select(F.col("key").alias("_k2"), F.col("u").alias("_u2"), F.col("n").alias("_b"))
     for k, t in enumerate(named):
-        a, b = axis.alias("a"), t.alias("b")
-        same = [F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in keys]
-        inside = (F.col("a.valid_from") >= F.col("b.valid_from")) & (F.col("b.valid_until").isNull() | (F.col("a.valid_until") <= F.col("b.valid_until")))
-        axis = a.join(b, reduce(lambda p, q: p & q, [*same, inside]), "left").select("a.*", *[F.col(f"b.`{c}`") for c in values[k]])
-    return axis.select(*keys, *[f"`{c}`" for v in values for c in v], "valid_from", "valid_until")
+        held = t.where("_f < _u").join(first, F.col("_key").eqNullSafe(F.col("_k1")) & (F.col("_f") == F.col("_f1"))).join(last, F.col("_key").eqNullSafe(F.col("_k2")) & (F.col("_u") == F.col("_u2")))
+        held = held.select(F.col("_key").alias(f"_key{k}"), F.explode(F.sequence("_a", "_b")).alias(f"_n{k}"), *[F.col(f"`{c}`").alias(f"_v{k}_{i}") for i, c in enumerate(values[k])])
+        result = result.join(held, F.col("key").eqNullSafe(F.col(f"_key{k}")) & (F.col("n") == F.col(f"_n{k}")), "left").drop(f"_key{k}", f"_n{k}")
+    kinds = {c: kind for c, kind in tables[0].dtypes}
+    kind = kinds[(colnames or {}).get("t1.from", "valid_from")]
+    instant = lambda c: F.timestamp_micros(F.nullif(F.col(c), F.lit(OPEN))).cast(kind)
+    return result.select(*rangescan.entity_columns(tables[0], keys, "key"), *[F.col(f"_v{k}_{i}").alias(c) for k, v in enumerate(values) for i, c in enumerate(v)], instant("f").alias("valid_from"), instant("u").alias("valid_until"))

@@ -6,7 +6,7 @@ leaves both as they were and its successor takes over its range.
 
 ``WatermarkExport`` is that for one stream. ``windows`` and ``replay`` do it for the log of many runs of many tables
 at once: the watermark that each run found is the running maximum of the bounds that succeeded before it, and records
-are assigned to the windows by the as-of scan, which bears any skew.
+are assigned to the windows by the as-of scan; both are range-sorted scans, which bear any skew.
 
 Defined results. Runs without table, bound or start don't count; nor do records without any instant in range. Of
 runs that start together each sees the watermark before all of them. A run whose bound isn't beyond its watermark
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronostrata.operators.asof import as_of
+from chronostrata.operators.axis import maximum_before
 from chronostrata.sources.manifest import Manifests
 
 #: Stands for "no lower bound".
@@ -64,8 +65,8 @@ def windows(runs: DataFrame) -> DataFrame:
     """(entity, low, high, runs): disjoint ranges per entity, each with the runs that export it; of runs (run, entity,
     bound, start, success) with bigint bound and start. low is ALWAYS where there was no successful run before."""
     done = runs.where("entity IS NOT NULL AND bound IS NOT NULL AND start IS NOT NULL AND run IS NOT NULL").groupBy("run", "entity").agg(F.max("bound").alias("bound"), F.min("start").alias("start"), F.bool_or("success").alias("ok")).where("ok")
-    before = Window.partitionBy("entity").orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
-    found = done.withColumn("low", F.coalesce(F.max("bound").over(before), F.lit(ALWAYS))).where("bound > low")
+    found = maximum_before(done.select(F.col("entity").alias("key"), F.col("start").alias("t"), F.col("bound").alias("v"), "run", "entity", "bound"), ["run", "entity", "bound"])
+    found = found.withColumn("low", F.coalesce("before", F.lit(ALWAYS))).where("bound > low")
     # runs that start together share their lower bound: cut their nested windows at each of the bounds
     together = Window.partitionBy("entity", "low").orderBy("bound")
     cuts = found.withColumn("from", F.coalesce(F.lag("bound").over(together), F.col("low"))).withColumn("runs", F.collect_list("run").over(together.rowsBetween(0, Window.unboundedFollowing)))
