@@ -53,7 +53,7 @@ def changed_leaves(tree: DataFrame, depth: int) -> DataFrame:
     at = tree.withColumns({"was_hash": F.lag("hash").over(w), "was": F.lag("inside").over(w)})
     at = at.where(~F.col("hash").eqNullSafe(F.col("was_hash"))).select(*PLACE, "at", F.col("inside").alias("now"), "was")
     for _ in range(depth):
-        child = F.explode(F.array_union(F.map_keys("now"), F.coalesce(F.map_keys("was"), F.array().cast("array<int>"))))
+        child = F.explode(F.array_union(*[F.coalesce(F.map_keys(c), F.array().cast("array<int>")) for c in ("now", "was")]))
         at = at.withColumn("k", child).withColumns({"now": F.try_element_at("now", F.col("k")), "was": F.try_element_at("was", F.col("k"))})
         at = at.where(~F.col("now.hash").eqNullSafe(F.col("was.hash"))).select(*PLACE, "at", F.col("now.inside").alias("now"), F.col("was.inside").alias("was"))
     return at
