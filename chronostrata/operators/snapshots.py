@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronostrata.session import bounded_broadcast, shuffle_width
@@ -71,5 +71,7 @@ def delivered(df: DataFrame, writers: DataFrame, entity: str, key: str, text: st
         calendar = raw.select(F.col(entity).alias("entity"), F.col(text).alias("text"), F.col(writer).alias("writer")).join(F.broadcast(heavy), "entity").distinct()
         marks = timed(calendar).select("entity", "branches", "at").distinct().withColumn("branch", F.explode(F.expr("sequence(0, branches - 1)")))
         rows = rows.unionByName(marks.select("entity", "branch", "at"), allowMissingColumns=True)
-    last = Window.partitionBy("entity", "branch", "at", "key").orderBy(F.desc_nulls_last("arrival"), F.desc_nulls_last("tie"))
-    return rows.repartition(width, "entity", "branch").withColumn("_n", F.row_number().over(last)).where("_n = 1").select("entity", "branch", "at", "key", "h1", "h2")
+    # Repeated rows are reduced where they lie, before anything moves: copies of one record may be a large part of the data.
+    best = F.max(F.struct("arrival", "tie", "h1", "h2")).alias("best")
+    once = rows.groupBy("entity", "branch", "at", "key").agg(best)
+    return once.select("entity", "branch", "at", "key", "best.h1", "best.h2").repartition(width, "entity", "branch")

@@ -48,13 +48,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    feed = with_instant(load(spark, d, "delta_load").where("col1 IS NOT NULL"), load(spark, d, "writers"), "until_ts", "end_us")
-    changes = feed.select("delta_no", "col1", "col2", micros("from_ts").alias("from_us"), F.col("end_us").isNotNull().alias("ended"))
-    schema = changes.drop("delta_no").schema
-    table = cow.BucketedTable(spark, scratch(spark, "delta-load"), schema, ["col1"], "from_us", "ended", buckets=4 * shuffle_width(spark))
-    middle = load(spark, d, "delta_load").agg(F.expr("(min(delta_no) + max(delta_no)) div 2")).first()[0] or 0
-    for part in (F.col("delta_no") <= middle, F.coalesce(F.col("delta_no") > middle, F.lit(True))):
-        table.apply(changes.where(part))
+    feed, writers = load(spark, d, "delta_load").where("col1 IS NOT NULL"), load(spark, d, "writers")
+
+    def changes(rows: DataFrame) -> DataFrame:
+        timed = with_instant(rows, writers, "until_ts", "end_us")
+        return timed.select("col1", "col2", micros("from_ts").alias("from_us"), F.col("end_us").isNotNull().alias("ended"))
+
+    table = cow.BucketedTable(spark, scratch(spark, "delta-load"), changes(feed).schema, ["col1"], "from_us", "ended", buckets=4 * shuffle_width(spark))
+    middle = feed.agg(F.expr("(min(delta_no) + max(delta_no)) div 2")).first()[0] or 0
+    for part in (F.col("delta_no") <= middle, F.coalesce(F.col("delta_no") > middle, F.lit(True))):  # two deliveries of the feed
+        table.apply(changes(feed.where(part)))
     payload = F.concat_ws("_", "col1", F.coalesce(F.col("col2").cast("string"), F.lit("")))
     return table.read().select("col1", utc_text("from_us").alias("from_utc"), F.md5(payload).alias("checksum"))
 
