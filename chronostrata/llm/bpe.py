@@ -11,6 +11,7 @@ Defined results: null and empty texts give an empty list; special tokens are ord
 from __future__ import annotations
 
 import json
+import uuid
 from heapq import heappop, heappush
 
 import pyarrow as pa
@@ -18,6 +19,8 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from chronostrata.llm.workers import kept
+
 #: Pre-tokens of byte-level BPE (a fixed value of the public vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Encoded pre-tokens kept by a worker; only a matter of speed.
@@ -148,21 +151,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json", folder: str = "/opt/tokenize
 
 def token_ids(spark: SparkSession, text: Column, path: str | None = None) -> Column:
     """Column of token ids (array<int>, never null). The driver reads the vocabulary; executors get it as a broadcast."""
-    shipped = spark.sparkContext.broadcast(Vocabulary.load(path or tokenizer_path()))
+    shipped, name = spark.sparkContext.broadcast(Vocabulary.load(path or tokenizer_path())), uuid.uuid4().hex
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        encoder = _encoder(shipped)
+        encoder = kept(name, lambda: Encoder(shipped.value))
         return pa.array([encoder.encode(t) for t in texts.to_pylist()], pa.list_(pa.int32()))
 
     return ids(text)
-
-
-_encoders: dict[int, Encoder] = {}
-
-
-def _encoder(shipped) -> Encoder:
-    if (found := _encoders.get(shipped.id if hasattr(shipped, "id") else 0)) is None:
-        _encoders.clear()
-        found = _encoders[shipped.id if hasattr(shipped, "id") else 0] = Encoder(shipped.value)
-    return found

@@ -13,6 +13,7 @@ length is one space, none at the ends. Case, accents, digits, superscripts and o
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,6 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronostrata.llm.workers import kept
+from chronostrata.session import cut
+
 # Letters of other scripts that are drawn like a Latin letter, and hyphens drawn like "-".
 LOOK_ALIKES = (
     # Cyrillic
@@ -183,19 +187,13 @@ def vocabulary(documents: DataFrame, text: str, size: int = VOCABULARY) -> list[
     return [(r[0], r[1]) for r in counts.orderBy(F.desc("n"), "token").limit(size).collect()]
 
 
-_formers: dict[int, Former] = {}
-
-
 def consistent_form(spark: SparkSession, text: Column, words: list[tuple[str, int]], max_cost: int = 0) -> Column:
     """Column with the consistent form of ``text``, given a vocabulary."""
-    shipped = spark.sparkContext.broadcast((words, max_cost))
+    shipped, name = spark.sparkContext.broadcast((words, max_cost)), uuid.uuid4().hex
 
     @F.arrow_udf("string")
     def form(texts: pa.Array) -> pa.Array:
-        key = hash((len(words_ := shipped.value[0]), words_[0] if words_ else None, words_[-1] if words_ else None, shipped.value[1]))
-        if (former := _formers.get(key)) is None:
-            _formers.clear()
-            former = _formers[key] = Former(*shipped.value)
+        former = kept(name, lambda: Former(*shipped.value))
         return pa.array([former.text(t) for t in texts.to_pylist()], pa.string())
 
     return form(text).alias("form")
@@ -207,8 +205,6 @@ def same_looking_pairs(documents: DataFrame, doc_id: str, text: str, max_cost: i
     spark = documents.sparkSession
     words = vocabulary(documents, text)
     rows = documents.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), F.md5(F.col(text)).alias("t"), consistent_form(spark, F.col(text), words, max_cost))
-    from chronostrata.session import cut
-
     rows = cut(rows.where("form <> ''").select("doc", F.unhex("t").alias("t"), F.unhex(F.md5("form")).alias("f")))
     texts = rows.groupBy("f", "t").count().select("f", "t")
     several = texts.groupBy("f").count().where("count > 1").select("f")
