@@ -82,9 +82,11 @@ class Trie:
     def __init__(self, words: list[tuple[str, int]]):
         self.edges: list[dict[str, list[tuple[str, int]]]] = [{}]
         self.word: list[tuple[int, str] | None] = [None]
-        for text, count in words:
-            node = 0
-            for s in symbols(text):
+        for spelled, count in words:
+            if not (visible := symbols(spelled)):
+                continue
+            text, node = unicodedata.normalize("NFC", visible), 0
+            for s in visible:
                 below = self.edges[node].setdefault(DRAWN_LIKE.get(s, s), [])
                 step = next((n for x, n in below if x == s), None)
                 if step is None:
@@ -143,8 +145,7 @@ class Former:
         form = self.known.get(token)
         if form is None:
             form = self.trie.nearest(token, self.max_cost)
-            # canonical spellings are written composed; a token without visible symbols meets no word
-            form = by_table(token) if form is None else unicodedata.normalize("NFC", form)
+            form = by_table(token) if form is None else form
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             if len(token) <= 64:
