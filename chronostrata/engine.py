@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chronostrata.functions.timestamps import Timestamp, to_ts
 from chronostrata.operators.delta import Delta, apply_delta, delta_counts, export_delta, same_columns
-from chronostrata.operators.history import apply_snapshot, empty_history
+from chronostrata.operators.history import apply_snapshot, apply_snapshot_literal, empty_history
 from chronostrata.operators.keys import META, is_historical
 from chronostrata.session import cut
 from chronostrata.sources.ident import TableId
@@ -28,12 +28,13 @@ def _scope(filters: DataFrame | None) -> str | None:
     return hashlib.md5(f"{columns}{tuple(total)}".encode()).hexdigest()
 
 
-def update_snapshot(data: DataFrame, store: Store, db_table: str | TableId, timestamp: Timestamp, filters: DataFrame | None = None, message: str | None = None, tic: datetime | None = None, logger: Logger | None = None, enforce_chronological_order: bool = True, collapse_continuous_records: bool = False) -> dict[str, int]:
+def update_snapshot(data: DataFrame, store: Store, db_table: str | TableId, timestamp: Timestamp, filters: DataFrame | None = None, message: str | None = None, tic: datetime | None = None, logger: Logger | None = None, enforce_chronological_order: bool = True, collapse_continuous_records: bool = False, literal: bool = False) -> dict[str, int]:
     """Records in the historical table what the snapshot changes; returns the numbers of insertions and deactivations.
 
     Snapshots may come in any order if ``enforce_chronological_order`` is off. Records of zero length are never kept, so
     ``collapse_continuous_records`` changes nothing; it is accepted for those who set it. A run that dies leaves the
-    version before it, and its lock is released if the process lives."""
+    version before it, and its lock is released if the process lives. ``literal`` updates by the older rules (see
+    ``history.apply_snapshot_literal``), in which ``collapse_continuous_records`` matters."""
     t, name = to_ts(timestamp), store.id(db_table)
     logger = logger or Logger(name, timestamp, output_to_console=False, store=store, start_time=tic, warn=False)
     logger.set_timestamp(timestamp)
@@ -56,13 +57,17 @@ def update_snapshot(data: DataFrame, store: Store, db_table: str | TableId, time
             logger.log_error(f"Given timestamp {t} is earlier than latest timestamp in table: {latest}")
         scope, registry = _scope(filters), [(to_ts(r[0]), r[1]) for r in state.get("registry", [])]
         later = sorted((x for x in registry if x[0] > t), key=lambda x: x[0])
-        if strange := [x for x in later if x[1] not in (None, scope)]:
+        if not literal and (strange := [x for x in later if x[1] not in (None, scope)]):
             raise ValueError(f"later updates with other filters ({strange[0][0]}) make it impossible to say how long a record of {t} holds")
         upcoming = later[0][0] if later else None
         facts = {"registry": sorted({(str(x), s or "") for x, s in [*registry, (t, scope)]})}
         facts["registry"] = [[x, s or None] for x, s in facts["registry"]]
         fresh = latest is None or t > latest
-        if fresh:  # only the open rows can change; what they close is appended
+        if literal:
+            result = apply_snapshot_literal(target, data, t, filters, not enforce_chronological_order, collapse_continuous_records)
+            counts = result.counts.first().asDict()
+            store.commit(name, result.history, **facts)
+        elif fresh:  # only the open rows can change; what they close is appended
             seen = Observation()
             result = apply_snapshot(store.read(name, only_open=True), data, t, None, filters, fresh=True, observation=seen)
             store.commit(name, result.history, keep=[p for p in state["parts"] if not p["is_open"]], **facts)
@@ -104,8 +109,11 @@ def delta_load(store: Store, db_table: str | TableId, delta: Delta | list[Delta]
         if not same_columns(rows, before):
             raise ValueError("Columns do not match!")
         counts = delta_counts(before, rows).orderBy("ts").collect() if logger is not None else []  # a row for each snapshot
-        known = {(str(to_ts(x)), s or "") for x, s in [*store.state(name).get("registry", []), *delta.snapshots]}
-        store.commit(name, apply_delta(before, rows), registry=[[x, s or None] for x, s in sorted(known)])
+        state = store.state(name)
+        known = {(str(to_ts(x)), s or "") for x, s in [*state.get("registry", []), *delta.snapshots]}
+        high = rows.agg(F.max(F.greatest("from_ts", F.coalesce("until_ts", "from_ts")))).first()[0]
+        high = max([str(x) for x in (high, state.get("high")) if x is not None], default=None)
+        store.commit(name, apply_delta(before, rows), registry=[[x, s or None] for x, s in sorted(known)], high=high)
         until = "" if delta.timestamp_until is None else f" and timestamp_until = {delta.timestamp_until}"
         for ts, added, ended in counts:
             logger.set_timestamp(ts)

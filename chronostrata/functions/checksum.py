@@ -16,21 +16,24 @@ def _text(df: DataFrame, column: str) -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
 
-def checksum_of(df: DataFrame, columns: list[str], safe: bool = False) -> Column:
-    """md5 over the columns as text, joined by '_', null as ''. With ``safe`` each value is preceded by its length, so
+def checksum_of(df: DataFrame, columns: list[str], safe: bool = False, algorithm: str = "md5") -> Column:
+    """md5 (or 'sha256', 64 digits) over the columns as text, joined by '_', null as ''. With ``safe`` each value is preceded by its length, so
     that neither nulls and empty texts nor values with '_' can be mistaken for each other."""
     parts = [_text(df, c) for c in columns]
     if safe:
         parts = [F.when(F.col(f"`{c}`").isNull(), F.lit("N")).otherwise(F.concat(F.length(p).cast("string"), F.lit(":"), p)) for c, p in zip(columns, parts, strict=True)]
-    return F.md5(F.concat_ws("_", *parts))
+    text = F.concat_ws("_", *parts)
+    if algorithm not in ("md5", "sha256"):
+        raise ValueError(f"unknown algorithm {algorithm!r}")
+    return F.md5(text) if algorithm == "md5" else F.sha2(text, 256)
 
 
-def digest_to_checksum(df: DataFrame, col: str = "checksum", exclude: list[str] | None = None, safe: bool = False) -> DataFrame:
+def digest_to_checksum(df: DataFrame, col: str = "checksum", exclude: list[str] | None = None, safe: bool = False, algorithm: str = "md5") -> DataFrame:
     """``df`` with the checksum of all columns but ``col`` and ``exclude``; warns if it overwrites ``col``."""
     if col in df.columns:
         warnings.warn(f"Column {col} already exists in data and will be overwritten!", stacklevel=2)
     columns = [c for c in df.columns if c != col and c not in (exclude or [])]
-    return df.drop(col).withColumn(col, checksum_of(df, columns, safe))
+    return df.drop(col).withColumn(col, checksum_of(df, columns, safe, algorithm))
 
 
 def unite(df: DataFrame, col: str, columns: list[str] | None = None, sep: str = "_", remove: bool = True) -> DataFrame:

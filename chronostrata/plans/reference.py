@@ -269,6 +269,21 @@ def rows_delete(spark: SparkSession, d: str) -> DataFrame:
     return rows.rows_delete(_base(spark, d), _edits(spark, d), ["k"])
 
 
+def slice_max(spark: SparkSession, d: str) -> DataFrame:
+    return history.slice_max(load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderkey", ["o_custkey", "o_orderpriority"])
+
+
+def literal_update(spark: SparkSession, d: str) -> DataFrame:
+    store = _store(spark)
+    for i, t in ((1, T1), (2, T2), (3, T3)):
+        engine.update_snapshot(_snapshot(spark, d, i), store, TABLE, t, literal=True)
+    return _text(store.get_table(TABLE, None))
+
+
+def checksum_sha256(spark: SparkSession, d: str) -> DataFrame:
+    return digest_to_checksum(load(spark, d, "region"), algorithm="sha256")
+
+
 def snapshot_difference(spark: SparkSession, d: str) -> DataFrame:
     return snapdiff.between(_snapshot(spark, d, 2), _snapshot(spark, d, 3), ["k"])
 
@@ -304,7 +319,7 @@ QUERIES = {f.__name__: f for f in (
     scd_update_counts, scd_filtered_update, slice_custom_cols, slice_multi_cols, checksum_all, checksum_exclude, unite_default, unite_keep, unite_all,
     filter_keys_single, filter_keys_composite, filter_keys_null_key, filter_keys_empty, join_theta, not_in_null_aware,
     interlace_two, interlace_three_named, nrow_table, count_by_ts, delta_open, delta_bounded, delta_replay, delta_replay_out_of_order, delta_log_counts,
-    rows_upsert, rows_update, rows_patch, rows_insert, rows_append, rows_delete, snapshot_difference, list_tables, table_exists, log_table, db_timestamp_literals,
+    rows_upsert, rows_update, rows_patch, rows_insert, rows_append, rows_delete, snapshot_difference, slice_max, literal_update, checksum_sha256, list_tables, table_exists, log_table, db_timestamp_literals,
 )} | {f"join_{how}_{kind}": _join(how, kind) for how in joins.HOW for kind in ("by", "na_by", "mixed")}
 
 
@@ -409,6 +424,9 @@ SQL = {
     "rows_delete": f"SELECT k, m FROM {_BASE} AS x WHERE k NOT IN (SELECT k FROM {_EDIT} AS y)",
     "snapshot_difference": f"""SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'changed' END AS kind
         FROM ({_S[2]}) AS a FULL JOIN ({_S[3]}) AS b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.n <> b.n OR a.m <> b.m""",
+    "slice_max": "SELECT o_orderkey, o_custkey, o_orderpriority FROM (SELECT *, rank() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey DESC) AS r FROM orders) AS q WHERE r = 1",
+    "literal_update": _FULL,
+    "checksum_sha256": "SELECT *, sha256(CAST(r_regionkey AS VARCHAR) || '_' || r_name) AS checksum FROM region",
     "list_tables": "SELECT 'test' AS schema, 'customers' AS \"table\"",
     "table_exists": "SELECT 'test.customers' AS name, true AS found UNION ALL SELECT 'test.none', false",
     "log_table": "SELECT CASE step WHEN 1 THEN '" + T1 + "' WHEN 2 THEN '" + T2 + "' ELSE '" + T3 + "' END AS date, 'test' AS schema, 'customers' AS \"table\", n_insertions, n_deactivations, true AS success FROM (" + " UNION ALL ".join([_CUT(1, _NONE, 1), _CUT(2, _S[1], 2), _CUT(3, _S[2], 3)]) + ") AS c",

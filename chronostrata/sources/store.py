@@ -200,10 +200,17 @@ class Store:
         """The latest instant that a snapshot or, in tables filled otherwise, any record has; None for an empty table."""
         state = self.state(name)
         if state.get("registry"):
-            return max(to_ts(r[0]) for r in state["registry"])
+            return max([to_ts(r[0]) for r in state["registry"]] + [to_ts(x) for x in [state.get("high")] if x])
         return self.read(name).agg(F.max(F.greatest("from_ts", F.coalesce("until_ts", "from_ts")))).first()[0]
 
 
+def table_signature(data: DataFrame) -> dict[str, str]:
+    """SQL types by column; the metadata columns have their fixed types wherever they stand."""
+    fixed = {"checksum": "string", "from_ts": "timestamp_ntz", "until_ts": "timestamp_ntz"}
+    whole = all(c in data.columns for c in fixed)
+    return {c: fixed[c] if whole and c in fixed else kind for c, kind in data.dtypes}
+
+
 @contextmanager
 def temporary_view(df: DataFrame, name: str | None = None):
     """A view that goes when the block ends."""

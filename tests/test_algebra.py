@@ -88,6 +88,9 @@ def test_checksums(spark):
     with pytest.raises(TypeError):
         digest_to_checksum(spark.createDataFrame([([1],)], "a array<int>"))
     assert digest_to_checksum(df.limit(0)).count() == 0
+    assert {len(r["checksum"]) for r in digest_to_checksum(df, algorithm="sha256").collect()} == {64}
+    with pytest.raises(ValueError):
+        digest_to_checksum(df, algorithm="crc")
 
 
 def test_unite(spark):

@@ -69,3 +69,11 @@ def test_loading_wrong_columns(spark, source):
     source.create_table(spark.createDataFrame([], "x int"), "test.other")
     with pytest.raises(ValueError, match="Columns do not match"):
         engine.delta_load(source, "test.other", bounded(source, STEPS[0][0]))
+
+
+def test_an_update_after_a_delta_that_ends_later(spark, source):
+    """The delta knows an end at its own bound, though no snapshot of then: an update before it isn't in order."""
+    d = engine.delta_export(source, T, STEPS[0][0], STEPS[1][0])
+    engine.delta_load(source, "test.late", d)
+    with pytest.raises(RuntimeError, match="earlier than latest"):
+        engine.update_snapshot(spark.createDataFrame(STEPS[0][1], COLS), source, "test.late", "2022-01-01 08:05:00")

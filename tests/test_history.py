@@ -181,3 +181,30 @@ def test_all_spellings_of_an_instant_are_equal(spark):
     for bad in ("yesterday", "2024-13-01", 5, None):
         with pytest.raises(ValueError):
             to_ts(bad)
+
+
+def test_literal_rules(spark, store):
+    """The older rules lose the later part of a record that a late snapshot lacks, and know no end for what it adds."""
+    x = lambda *names: [(n, None) for n in names]
+    update(spark, store, x("X"), "2022-01-01", literal=True)
+    update(spark, store, x("X", "Y"), "2022-03-01", literal=True)
+    counts = update(spark, store, x("Z"), "2022-02-01", literal=True, enforce_chronological_order=False)
+    assert counts == {"n_insertions": 1, "n_deactivations": 1}
+    a, b, c = "2022-01-01 00:00", "2022-02-01 00:00", "2022-03-01 00:00"
+    assert rows_of(store.get_table(T, None)) == sorted([("X", None, a, b), ("Y", None, c, None), ("Z", None, b, None)], key=str)
+
+
+def test_literal_rules_agree_in_order(spark, store):
+    for k, (rows, t) in enumerate(((T0, "2022-01-01"), (T1, "2022-02-01"), (T2, "2022-03-01"), (T1, "2022-04-01"))):
+        for table, literal in (("test.a", True), ("test.b", False)):
+            engine.update_snapshot(frame(spark, rows), store, table, t, literal=literal)
+        assert rows_of(store.get_table("test.a", None)) == rows_of(store.get_table("test.b", None)), k
+    engine.update_snapshot(frame(spark, T0), store, "test.a", "2022-04-01", literal=True)
+    assert store.get_table("test.a", None).where("from_ts = until_ts").count() > 0  # records of zero length stay
+    engine.update_snapshot(frame(spark, T2), store, "test.a", "2022-04-01", literal=True, collapse_continuous_records=True)
+    assert store.get_table("test.a", None).where("from_ts = until_ts").count() == 0
+
+
+def test_slice_max_keeps_ties(spark):
+    df = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("a", 2, 3), (None, 5, 4), (None, None, 5), ("b", None, 6)], "g string, o int, i int")
+    assert sorted(r["i"] for r in history.slice_max(df, "o", ["g"]).collect()) == [2, 3, 4]

@@ -13,7 +13,7 @@ from chronostrata.sources import connectors
 from chronostrata.sources.ident import TableId, unique_table_name
 from chronostrata.sources.locks import lock_table, locks, unlock_table
 from chronostrata.sources.logs import Logger, LoggerNull, create_logs_if_missing
-from chronostrata.sources.store import LATEST, close_connection, get_connection, temporary_view
+from chronostrata.sources.store import LATEST, close_connection, get_connection, table_signature, temporary_view
 from chronostrata.streaming.sink import change_sink, snapshot_sink
 
 
@@ -76,6 +76,12 @@ def test_types_survive(spark, store):
     assert [k for _, k in store.get_table("test.types").dtypes] == [k for _, k in df.dtypes] and store.get_table("test.types").collect() == df.collect()
 
 
+def test_signatures(spark):
+    df = spark.createDataFrame([], "checksum binary, a date, from_ts string, until_ts timestamp")
+    assert table_signature(df) == {"checksum": "string", "a": "date", "from_ts": "timestamp_ntz", "until_ts": "timestamp_ntz"}
+    assert table_signature(df.drop("until_ts"))["from_ts"] == "string"
+
+
 def test_old_versions_go(spark, store):
     for i in range(9):
         engine.update_snapshot(spark.createDataFrame([(i,)], "a int"), store, "test.t", datetime(2024, 1, 1 + i))
