@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from chronostrata.functions import zones
 from chronostrata.functions.zones import Zone
+from chronostrata.session import bounded_broadcast, fresh_name, ship
 
 # Common abbreviations that are used where the writer's own zone doesn't define them (seconds).
 ABBREVIATIONS = {
@@ -245,6 +246,7 @@ def zone_tables(spark: SparkSession):
 
 def to_instant(spark: SparkSession, text: Column, tz: Column, order: Column) -> Column:
     """Column of microseconds since 1970 UTC (bigint), null where the text denotes no instant."""
+    ship(spark)
     table = zone_tables(spark)
 
     @F.arrow_udf("long")
@@ -264,8 +266,6 @@ def with_instant(df: DataFrame, writers: DataFrame, text: str, into: str, writer
 
     ``writers`` has writer_id, tz and date_order; of repeated writer_ids the smallest tz counts. Rows of unknown
     writers stay, and their zone-less texts give null."""
-    from chronostrata.session import bounded_broadcast, fresh_name
-
     w, z, o = (fresh_name(x, [*df.columns, into]) for x in ("_writer", "_tz", "_order"))
     one = writers.where("writer_id IS NOT NULL").groupBy(F.col("writer_id").alias(w)).agg(F.min_by("tz", F.struct("tz", "date_order")).alias(z), F.min_by("date_order", F.struct("tz", "date_order")).alias(o))
     joined = df.join(bounded_broadcast(one), df[writer] == F.col(w), "left")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from chronostrata.functions.checksum import checksum_of
@@ -61,7 +61,7 @@ def checksummed(snapshot: DataFrame, payload: list[str], filters: DataFrame | No
     return rows.withColumn("checksum", checksum_of(rows, payload, safe)).dropDuplicates(["checksum"])
 
 
-def _scoped(history: DataFrame, filters: DataFrame | None) -> Column | tuple[DataFrame, Column]:
+def _scoped(history: DataFrame, filters: DataFrame | None) -> DataFrame:
     """``history`` with the column _in: whether a row lies inside the filters."""
     if filters is None:
         return history.withColumn("_in", F.lit(True))

@@ -13,7 +13,7 @@ State and results are handled a whole Arrow batch at a time, so memory doesn't d
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import Any, Protocol
 
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronostrata.session import cut, shuffle_width
+from chronostrata.session import cut, ship, shuffle_width
 
 #: Rows that a partition of the sorted data should have at most.
 PARTITION_ROWS = 2_000_000
@@ -58,6 +58,7 @@ def ordered(df: DataFrame, by: list[str], rows: int | None = None) -> DataFrame:
 
 def run(sorted_df: DataFrame, scan: Scan, schema: T.StructType) -> DataFrame:
     """Results of ``scan`` over what ``ordered`` gave."""
+    ship(sorted_df.sparkSession)
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, pid = None, None
@@ -92,5 +93,3 @@ def run(sorted_df: DataFrame, scan: Scan, schema: T.StructType) -> DataFrame:
 
     return sorted_df.mapInArrow(rescan, schema)
 
-
-StepFunction = Callable[[Any, pa.RecordBatch], tuple[Any, list[pa.RecordBatch]]]
