@@ -20,6 +20,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from chronostrata.llm.workers import kept
+from chronostrata.session import ship
 
 #: Pre-tokens of byte-level BPE (a fixed value of the public vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -151,6 +152,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json", folder: str = "/opt/tokenize
 
 def token_ids(spark: SparkSession, text: Column, path: str | None = None) -> Column:
     """Column of token ids (array<int>, never null). The driver reads the vocabulary; executors get it as a broadcast."""
+    ship(spark)
     shipped, name = spark.sparkContext.broadcast(Vocabulary.load(path or tokenizer_path())), uuid.uuid4().hex
 
     @F.arrow_udf("array<int>")

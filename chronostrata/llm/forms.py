@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronostrata.llm.workers import kept
-from chronostrata.session import cut
+from chronostrata.session import cut, ship
 
 # Letters of other scripts that are drawn like a Latin letter, and hyphens drawn like "-".
 LOOK_ALIKES = (
@@ -169,6 +169,8 @@ def vocabulary(documents: DataFrame, text: str, size: int = VOCABULARY) -> list[
     """(spelling, count) of the corpus's most frequent clean tokens: composed, of one script, seen at least twice.
     Counted over all documents, pre-aggregated in each task; the driver gets ``size`` short tokens at most."""
 
+    ship(documents.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(n: Counter) -> pa.RecordBatch:
             clean = [(t, k) for t, k in n.items() if len(t) <= 40 and t.isprintable() and script(t) in ("LATIN", "CYRILLIC", "GREEK") and unicodedata.normalize("NFC", symbols(t)) == t]
@@ -190,6 +192,7 @@ def vocabulary(documents: DataFrame, text: str, size: int = VOCABULARY) -> list[
 
 def consistent_form(spark: SparkSession, text: Column, words: list[tuple[str, int]], max_cost: int = 0) -> Column:
     """Column with the consistent form of ``text``, given a vocabulary."""
+    ship(spark)
     shipped, name = spark.sparkContext.broadcast((words, max_cost)), uuid.uuid4().hex
 
     @F.arrow_udf("string")
