@@ -71,7 +71,51 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return export.read()
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found}
+# The same operators over tables whose instants need no reading, so that SQL can give the same answer.
+
+
+def _steps(spark: SparkSession, d: str) -> DataFrame:
+    """Three snapshots of customer as ``snapshots.delivered`` would give them; their instants are 1, 2 and 3."""
+    c = load(spark, d, "customer").select(F.lit("customer").alias("entity"), F.col("c_custkey").cast("string").alias("key"), "c_custkey", F.col("c_mktsegment").alias("m"), F.explode(F.expr("array(1L, 2L, 3L)")).alias("at"))
+    c = c.where("(at = 1 AND c_custkey % 10 < 8) OR (at = 2 AND c_custkey % 10 < 9) OR (at = 3 AND c_custkey % 10 >= 1)")
+    c = c.withColumn("m", F.expr("CASE WHEN (at = 2 AND c_custkey % 7 = 0) OR (at = 3 AND c_custkey % 7 = 0 AND c_custkey % 14 <> 0) THEN 'CHANGED' WHEN c_custkey % 11 = 0 THEN NULL ELSE m END"))
+    c = c.withColumn("branch", F.pmod(F.xxhash64("key"), F.lit(4)).cast("int"))
+    return c.select("entity", "branch", "at", "key", *snapshots.payload_hashes(["m"])).repartition(shuffle_width(spark), "entity", "branch")
+
+
+def merkle_customers(spark: SparkSession, d: str) -> DataFrame:
+    return merkle.history(_steps(spark, d), (4, 4)).select("key", F.col("from_us").alias("from_step"), F.col("until_us").alias("until_step"))
+
+
+def changes_customers(spark: SparkSession, d: str) -> DataFrame:
+    return snapdiff.consecutive(_steps(spark, d)).select("key", F.col("at").alias("step"), "kind")
+
+
+def instants_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Instants of orders, written in eight spellings and read again."""
+    forms = ["yyyy-MM-dd HH:mm:ss", "dd.MM.yyyy HH:mm:ss", "yyyyMMddHHmmss", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "dd/MM/yyyy HH:mm", "EEE, dd MMM yyyy HH:mm:ss '+0000'", "MMM d, yyyy h:mm a", "d MMM yyyy HH:mm"]
+    o = load(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("t"))
+    text = F.element_at(F.array(*[F.date_format("t", f) for f in forms]), (F.pmod("o_orderkey", F.lit(len(forms))) + 1).cast("int"))
+    writers = spark.createDataFrame([(1, "UTC", "dmy")], "writer_id int, tz string, date_order string")
+    return with_instant(o.select("o_orderkey", text.alias("text"), F.lit(1).alias("writer_id")), writers, "text", "us").select("o_orderkey", utc_text("us").alias("utc"))
+
+
+def feed_events(spark: SparkSession, d: str) -> DataFrame:
+    """The last event of each user, unless it is a delete; the feed comes in three deliveries out of order."""
+    feed = load(spark, d, "events").select("user_id", "event_id", F.expr("event_id % 5 = 0").alias("gone"), "event_type")
+    table = cow.BucketedTable(spark, scratch(spark, "events"), feed.schema, ["user_id"], "event_id", "gone", buckets=2 * shuffle_width(spark))
+    for k in (2, 0, 1):
+        table.apply(feed.where(F.col("event_id") % 3 == k))
+    return table.read().select("user_id", "event_id", "event_type")
+
+
+QUERIES = {
+    "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found,
+    "merkle_customers": merkle_customers, "changes_customers": changes_customers, "instants_orders": instants_orders, "feed_events": feed_events,
+}
+_STEPS = """WITH s AS (SELECT CAST(c_custkey AS VARCHAR) AS k, i AS step,
+        CASE WHEN (i = 2 AND c_custkey % 7 = 0) OR (i = 3 AND c_custkey % 7 = 0 AND c_custkey % 14 <> 0) THEN 'CHANGED' WHEN c_custkey % 11 = 0 THEN NULL ELSE c_mktsegment END AS m
+        FROM customer, (VALUES (1), (2), (3)) AS v(i) WHERE (i = 1 AND c_custkey % 10 < 8) OR (i = 2 AND c_custkey % 10 < 9) OR (i = 3 AND c_custkey % 10 >= 1))"""
 _TEXT = "strftime(make_timestamp({}), '%Y-%m-%dT%H:%M:%S.%fZ')"
 
 #: p1, p2, p5 and p6 begin with mixed spellings of instants, which SQL can't read; tests compare them with brute force.
@@ -89,4 +133,10 @@ SQL = {
     "p7_found": """WITH r AS (SELECT run_id, db_table, max(log_date) AS log_date, min(start_time) AS start_time FROM run_log GROUP BY run_id, db_table HAVING bool_or(success)),
         w AS (SELECT r.run_id, r.db_table, r.log_date, max(e.log_date) AS low FROM r LEFT JOIN r AS e ON e.db_table = r.db_table AND e.start_time < r.start_time GROUP BY r.run_id, r.db_table, r.log_date)
         SELECT DISTINCT w.run_id, x.rec_id FROM w JOIN delta_export AS x ON x.db_table = w.db_table AND ((x.from_ts < w.log_date AND (w.low IS NULL OR x.from_ts >= w.low)) OR (x.until_ts < w.log_date AND (w.low IS NULL OR x.until_ts >= w.low)))""",
+    "merkle_customers": _STEPS + """, g AS (SELECT *, step - row_number() OVER (PARTITION BY k, m ORDER BY step) AS g FROM s), r AS (SELECT k, m, min(step) AS a, max(step) + 1 AS b FROM g GROUP BY k, m, g)
+        SELECT k AS key, CAST(a AS BIGINT) AS from_step, CAST(CASE WHEN b <= 3 THEN b END AS BIGINT) AS until_step FROM r""",
+    "changes_customers": _STEPS + """ SELECT coalesce(a.k, b.k) AS key, CAST(coalesce(a.step, b.step + 1) AS BIGINT) AS step, CASE WHEN b.k IS NULL THEN 'added' WHEN a.k IS NULL THEN 'removed' ELSE 'changed' END AS kind
+        FROM s AS a FULL JOIN s AS b ON a.k = b.k AND a.step = b.step + 1 WHERE coalesce(a.step, b.step + 1) IN (2, 3) AND (a.k IS NULL OR b.k IS NULL OR a.m IS DISTINCT FROM b.m)""",
+    "instants_orders": "SELECT o_orderkey, strftime(CASE WHEN o_orderkey % 8 IN (4, 6, 7) THEN date_trunc('minute', o_orderdate) WHEN o_orderkey % 8 = 3 THEN o_orderdate ELSE date_trunc('second', o_orderdate) END, '%Y-%m-%dT%H:%M:%S.%fZ') AS utc FROM orders",
+    "feed_events": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events WHERE user_id IS NOT NULL) AS q WHERE n = 1 AND event_id % 5 <> 0",
 }
