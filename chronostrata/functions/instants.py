@@ -186,8 +186,8 @@ class _Batch:
         if width not in (14, 17, 20) and not done.all():
             _, times, over = next(x for x in _COUNTS if width <= x[0])
             rest = np.flatnonzero(~done)
-            count = _number(mat[rest], span)
-            self.value[rows[rest]], self.zone[rows[rest]] = count * times // over, -1
+            count = _number(mat[rest], span)  # 19 digits can be too large for a bigint and are negative then
+            self.value[rows[rest]], self.zone[rows[rest]] = count * times // over, np.where(count < 0, -2, -1)
 
     def resolve(self) -> np.ndarray:
         for code in np.unique(self.zone[self.zone >= 0]):

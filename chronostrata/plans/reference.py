@@ -21,6 +21,8 @@ from chronostrata.sources.store import LATEST, Store
 
 T1, T2, T3 = "2024-01-01 00:00:00", "2024-02-01 00:00:00", "2024-03-01 00:00:00"
 TABLE = "test.customers"
+#: The events that each of the interlaced tables is made of.
+_KINDS = {"a": "event_type <> 'view'", "b": "value > 100", "c": "event_type = 'click'"}
 
 
 # -- Spark ----------------------------------------------------------------------------------------------------------
@@ -32,9 +34,9 @@ def _text(df: DataFrame) -> DataFrame:
 
 
 def _snapshot(spark: SparkSession, d: str, i: int) -> DataFrame:
-    c = load(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("n"), F.col("c_mktsegment").alias("m"))
-    where, changed = {1: ("k % 10 < 8", "false"), 2: ("k % 10 < 9", "k % 7 = 0"), 3: ("k % 10 >= 1", "k % 7 = 0 AND k % 14 <> 0")}[i]
-    return c.where(where).withColumn("m", F.when(F.expr(changed), "CHANGED").otherwise(F.col("m")))
+    where, changed = {1: ("c_nationkey < 20", "false"), 2: ("c_nationkey < 23", "c_acctbal < 1500"), 3: ("c_nationkey >= 2", "c_acctbal < 700")}[i]
+    c = load(spark, d, "customer").where(where)
+    return c.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("n"), F.when(F.expr(changed), "CHANGED").otherwise(F.col("c_mktsegment")).alias("m"))
 
 
 def _store(spark: SparkSession) -> Store:
@@ -154,9 +156,9 @@ def filter_keys_empty(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _xy(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    x = load(spark, d, "customer").select("c_custkey", F.expr("nullif(c_nationkey % 5, 0)").alias("g"), F.col("c_mktsegment").alias("s"), F.col("c_name").alias("label"))
-    y = load(spark, d, "nation").select(F.expr("nullif(n_nationkey % 7, 0)").alias("g"), F.expr("CASE WHEN n_nationkey % 2 = 0 THEN 'BUILDING' ELSE 'NONE' END").alias("s"), F.col("n_name").alias("label"), "n_nationkey")
-    return x, y.where("n_nationkey % 7 <> 2")
+    x = load(spark, d, "customer").select("c_custkey", F.expr("nullif(c_nationkey, 0)").alias("g"), F.col("c_mktsegment").alias("s"), F.col("c_name").alias("label"))
+    y = load(spark, d, "nation").select(F.expr("nullif(n_regionkey * 10, 0)").alias("g"), F.expr("CASE WHEN n_regionkey < 3 THEN 'BUILDING' ELSE 'NONE' END").alias("s"), F.col("n_name").alias("label"), "n_nationkey")
+    return x, y
 
 
 def _join(how: str, kind: str):
@@ -180,24 +182,22 @@ def join_theta(spark: SparkSession, d: str) -> DataFrame:
 
 def not_in_null_aware(spark: SparkSession, d: str) -> DataFrame:
     x, y = _xy(spark, d)
-    return joins.not_in(x.select("c_custkey", "g"), y.where("g > 2").select("g"), "g").select("c_custkey", "g")
+    return joins.not_in(x.select("c_custkey", "g"), y.where("g IS NOT NULL").select("g"), "g").select("c_custkey", "g")
 
 
-def _stays(spark: SparkSession, d: str, every: int, value: str) -> DataFrame:
-    """Intervals per user: each event of every so many begins one, which ends with the next."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = load(spark, d, "events").where("user_id % 10 < 3").select("user_id", "event_id", "ts", F.row_number().over(w).alias("i")).where(F.col("i") % every == 0)
-    e = e.groupBy("user_id", "ts").agg(F.max("event_id").alias(value))
+def _stays(spark: SparkSession, d: str, kind: str, value: str) -> DataFrame:
+    """Intervals per user: each event of a kind begins one, which ends with the user's next of that kind."""
+    e = load(spark, d, "events").where(kind).groupBy("user_id", "ts").agg(F.max("event_id").alias(value))
     return e.select("user_id", value, F.col("ts").alias("valid_from"), F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts")).alias("valid_until"))
 
 
 def interlace_two(spark: SparkSession, d: str) -> DataFrame:
-    return _text(interlace([_stays(spark, d, 2, "a"), _stays(spark, d, 3, "b")], "user_id"))
+    return _text(interlace([_stays(spark, d, _KINDS["a"], "a"), _stays(spark, d, _KINDS["b"], "b")], "user_id"))
 
 
 def interlace_three_named(spark: SparkSession, d: str) -> DataFrame:
-    b = _stays(spark, d, 3, "b").withColumnsRenamed({"valid_from": "start", "valid_until": "stop"})
-    tables = [_stays(spark, d, 2, "a"), b, _stays(spark, d, 4, "c")]
+    b = _stays(spark, d, _KINDS["b"], "b").withColumnsRenamed({"valid_from": "start", "valid_until": "stop"})
+    tables = [_stays(spark, d, _KINDS["a"], "a"), b, _stays(spark, d, _KINDS["c"], "c")]
     return _text(interlace(tables, ["user_id"], {"t2.from": "start", "t2.until": "stop"}))
 
 
@@ -238,11 +238,11 @@ def delta_log_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _base(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 3 == 0, None).otherwise(F.col("c_mktsegment")).alias("m")).where("k % 4 <> 0")
+    return load(spark, d, "customer").where("c_nationkey < 20").select(F.col("c_custkey").alias("k"), F.when(F.col("c_acctbal") < 3000, None).otherwise(F.col("c_mktsegment")).alias("m"))
 
 
 def _edits(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.lit("EDIT").alias("m")).where("k % 6 < 3")
+    return load(spark, d, "customer").where("c_nationkey >= 10").select(F.col("c_custkey").alias("k"), F.lit("EDIT").alias("m"))
 
 
 def rows_upsert(spark: SparkSession, d: str) -> DataFrame:
@@ -326,9 +326,9 @@ QUERIES = {f.__name__: f for f in (
 # -- SQL ------------------------------------------------------------------------------------------------------------
 
 _S = {
-    1: "SELECT c_custkey AS k, c_name AS n, c_mktsegment AS m FROM customer WHERE c_custkey % 10 < 8",
-    2: "SELECT c_custkey AS k, c_name AS n, CASE WHEN c_custkey % 7 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS m FROM customer WHERE c_custkey % 10 < 9",
-    3: "SELECT c_custkey AS k, c_name AS n, CASE WHEN c_custkey % 7 = 0 AND c_custkey % 14 <> 0 THEN 'CHANGED' ELSE c_mktsegment END AS m FROM customer WHERE c_custkey % 10 >= 1",
+    1: "SELECT c_custkey AS k, c_name AS n, c_mktsegment AS m FROM customer WHERE c_nationkey < 20",
+    2: "SELECT c_custkey AS k, c_name AS n, CASE WHEN c_acctbal < 1500 THEN 'CHANGED' ELSE c_mktsegment END AS m FROM customer WHERE c_nationkey < 23",
+    3: "SELECT c_custkey AS k, c_name AS n, CASE WHEN c_acctbal < 700 THEN 'CHANGED' ELSE c_mktsegment END AS m FROM customer WHERE c_nationkey >= 2",
 }
 _SUM = "md5(CAST(k AS VARCHAR) || '_' || n || '_' || m)"
 
@@ -344,8 +344,8 @@ def _history_sql(steps: list[tuple[int, str]], columns: str = "k, n, m, checksum
 
 
 _ALL3 = [(1, T1), (2, T2), (3, T3)]
-_X = "(SELECT c_custkey, nullif(c_nationkey % 5, 0) AS g, c_mktsegment AS s, c_name AS label FROM customer)"
-_Y = "(SELECT nullif(n_nationkey % 7, 0) AS g, CASE WHEN n_nationkey % 2 = 0 THEN 'BUILDING' ELSE 'NONE' END AS s, n_name AS label, n_nationkey FROM nation WHERE n_nationkey % 7 <> 2)"
+_X = "(SELECT c_custkey, nullif(c_nationkey, 0) AS g, c_mktsegment AS s, c_name AS label FROM customer)"
+_Y = "(SELECT nullif(n_regionkey * 10, 0) AS g, CASE WHEN n_regionkey < 3 THEN 'BUILDING' ELSE 'NONE' END AS s, n_name AS label, n_nationkey FROM nation)"
 _ON = {"by": "x.g = y.g", "na_by": "x.g IS NOT DISTINCT FROM y.g", "mixed": "x.s = y.s AND x.g IS NOT DISTINCT FROM y.g"}
 
 
@@ -358,24 +358,23 @@ def _join_sql(how: str, kind: str) -> str:
     return f"SELECT x.c_custkey, {key}, x.label AS label, y.label AS label_y, y.n_nationkey FROM {_X} AS x {how.upper()} JOIN {_Y} AS y ON {_ON[kind]}"
 
 
-def _stays_sql(every: int, value: str) -> str:
-    return f"""(SELECT user_id, {value}, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS valid_until FROM (SELECT user_id, ts, max(event_id) AS {value} FROM
-        (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id % 10 < 3) AS q WHERE i % {every} = 0 GROUP BY user_id, ts) AS p)"""
+def _stays_sql(kind: str, value: str) -> str:
+    return f"(SELECT user_id, {value}, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS valid_until FROM (SELECT user_id, ts, max(event_id) AS {value} FROM events WHERE {kind} GROUP BY user_id, ts) AS p)"
 
 
-def _interlace_sql(tables: list[tuple[str, int]]) -> str:
-    parts = [_stays_sql(e, v) for v, e in tables]
+def _interlace_sql(tables: list[str]) -> str:
+    parts = [_stays_sql(_KINDS[v], v) for v in tables]
     ends = " UNION ".join(f"SELECT user_id, valid_from AS t FROM {p} AS u{k} UNION SELECT user_id, valid_until FROM {p} AS w{k}" for k, p in enumerate(parts))
     joined = " ".join(f"LEFT JOIN {p} AS t{k} ON t{k}.user_id = axis.user_id AND axis.f >= t{k}.valid_from AND (t{k}.valid_until IS NULL OR axis.u <= t{k}.valid_until)" for k, p in enumerate(parts))
-    values = ", ".join(f"t{k}.{v} AS {v}" for k, (v, _) in enumerate(tables))
+    values = ", ".join(f"t{k}.{v} AS {v}" for k, v in enumerate(tables))
     return f"""WITH points AS ({ends}), axis AS (SELECT user_id, t AS f, lead(t) OVER (PARTITION BY user_id ORDER BY t NULLS LAST) AS u, row_number() OVER (PARTITION BY user_id ORDER BY t NULLS LAST) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM points)
         SELECT axis.user_id, {values}, CAST(axis.f AS VARCHAR) AS valid_from, CAST(axis.u AS VARCHAR) AS valid_until FROM axis {joined} WHERE axis.i < axis.n"""
 
 
 _COUNTS = """SELECT ts, CAST(sum(i) AS INTEGER) AS n_insertions, CAST(sum(d) AS INTEGER) AS n_deactivations FROM (SELECT from_ts AS ts, 1 AS i, 0 AS d FROM hist UNION ALL SELECT until_ts, 0, 1 FROM hist WHERE until_ts IS NOT NULL) AS c GROUP BY ts"""
 _FULL = _history_sql(_ALL3)
-_BASE = "(SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS m FROM customer WHERE c_custkey % 4 <> 0)"
-_EDIT = "(SELECT c_custkey AS k, 'EDIT' AS m FROM customer WHERE c_custkey % 6 < 3)"
+_BASE = "(SELECT c_custkey AS k, CASE WHEN c_acctbal < 3000 THEN NULL ELSE c_mktsegment END AS m FROM customer WHERE c_nationkey < 20)"
+_EDIT = "(SELECT c_custkey AS k, 'EDIT' AS m FROM customer WHERE c_nationkey >= 10)"
 _ALLOWED = "(SELECT * FROM (VALUES ('BUILDING', 1), ('MACHINERY', 2), ('MACHINERY', 3)) AS v(seg, nat))"
 _ROWS = lambda a, b: f"SELECT (SELECT count(*) FROM ({_S[a]} EXCEPT {_S[b]}) AS q) "
 _CUT = lambda i, a, b: f"SELECT {i} AS step, CAST((SELECT count(*) FROM ({_S[b]} EXCEPT {a}) AS p) AS INTEGER) AS n_insertions, CAST((SELECT count(*) FROM ({a} EXCEPT {_S[b]}) AS q) AS INTEGER) AS n_deactivations"
@@ -406,9 +405,9 @@ SQL = {
     "filter_keys_null_key": "SELECT row_id, key_id, obs_2 FROM interlace WHERE obs_2 IS NULL",
     "filter_keys_empty": "SELECT CAST(0 AS BIGINT) AS n",
     "join_theta": "SELECT n.*, r.* FROM nation AS n LEFT JOIN region AS r ON n.n_nationkey BETWEEN r.r_regionkey * 4 AND r.r_regionkey * 5",
-    "not_in_null_aware": f"SELECT c_custkey, g FROM {_X} AS x WHERE g NOT IN (SELECT g FROM {_Y} AS y WHERE g > 2)",
-    "interlace_two": _interlace_sql([("a", 2), ("b", 3)]),
-    "interlace_three_named": _interlace_sql([("a", 2), ("b", 3), ("c", 4)]),
+    "not_in_null_aware": f"SELECT c_custkey, g FROM {_X} AS x WHERE g NOT IN (SELECT g FROM {_Y} AS y WHERE g IS NOT NULL)",
+    "interlace_two": _interlace_sql(["a", "b"]),
+    "interlace_three_named": _interlace_sql(["a", "b", "c"]),
     "nrow_table": "SELECT count(*) AS n FROM lineitem",
     "count_by_ts": f"WITH hist AS ({_FULL}) {_COUNTS}",
     "delta_open": _history_sql(_ALL3, where=f"from_ts >= '{T2}' OR until_ts >= '{T2}'"),

@@ -38,6 +38,8 @@ def us(moment):
     ("1613034000", "Asia/Kolkata", "dmy", "2021-02-11T09:00:00.000000Z"),
     ("1613034000123", None, None, "2021-02-11T09:00:00.123000Z"),
     ("1613034000123456", None, None, "2021-02-11T09:00:00.123456Z"),
+    ("1613034000123456789", None, None, "2021-02-11T09:00:00.123456Z"),
+    ("9999999999999999999", "UTC", "dmy", None), ("20211399000000", "UTC", "dmy", None), ("20210211", "UTC", "dmy", "2021-02-11T00:00:00.000000Z"),
     ("03/02/2021 13:45", "UTC", "dmy", "2021-02-03T13:45:00.000000Z"),
     ("03/02/2021 13:45", "UTC", "mdy", "2021-03-02T13:45:00.000000Z"),
     ("03/02/2021 1:45 PM", "UTC", "mdy", "2021-03-02T13:45:00.000000Z"),
