@@ -12,6 +12,7 @@ from chronostrata.operators.interlace import interlace
 from chronostrata.operators.islands import periods_and_gaps
 from chronostrata.operators.joins import anti_join, full_join, inner_join, join, left_join, not_in, right_join, semi_join
 from chronostrata.operators.keys import filter_keys, is_historical, nrow
+from chronostrata.operators.merkle_store import MerkleHistory
 from chronostrata.operators.rows import rows_append, rows_delete, rows_insert, rows_patch, rows_update, rows_upsert
 from chronostrata.operators.snapdiff import between, consecutive
 from chronostrata.operators.watermark import WatermarkExport, replay, windows
@@ -23,7 +24,7 @@ from chronostrata.sources.store import LATEST, Store, close_connection, get_conn
 from chronostrata.streaming.sink import change_sink, snapshot_sink
 
 __all__ = [
-    "LATEST", "BucketedTable", "Delta", "Logger", "LoggerNull", "Store", "TableId", "WatermarkExport", "anti_join", "apply_delta", "apply_snapshot",
+    "LATEST", "BucketedTable", "Delta", "Logger", "LoggerNull", "MerkleHistory", "Store", "TableId", "WatermarkExport", "anti_join", "apply_delta", "apply_snapshot",
     "as_of", "between", "change_sink", "changes_by_instant", "close_connection", "consecutive", "create_logs_if_missing", "current", "db_timestamp",
     "delta_counts", "delta_export", "delta_load", "digest_to_checksum", "export_delta", "filter_keys", "full_join", "get_connection", "inner_join",
     "interlace", "is_historical", "islands", "jdbc_url", "join", "left_join", "lock_table", "locks", "not_in", "nrow", "periods_and_gaps", "purge",

@@ -115,8 +115,8 @@ def apply_snapshot_literal(history: DataFrame, snapshot: DataFrame, timestamp: T
     part; without ``collapse``, records of zero length stay unless the snapshot is late."""
     payload = [c for c in history.columns if c not in META]
     t = db_timestamp(timestamp)
-    later = history.agg(F.min(F.when(F.col("from_ts") > t, F.col("from_ts"))).alias("a"), F.min(F.when(F.col("until_ts") > t, F.col("until_ts"))).alias("b"))
-    upcoming = later.select(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.least("a", "b")).alias("_next"))
+    begins, ends = history.agg(*[F.min(F.when(F.col(c) > t, F.col(c))) for c in ("from_ts", "until_ts")]).first()
+    upcoming = min(begins, ends) if begins is not None and ends is not None else None
     new = checksummed(snapshot, payload, filters)
     now = slice_time(filter_keys(history, filters.distinct()) if filters is not None else history, timestamp).select("checksum", "from_ts")
     gone = now.join(new.select("checksum"), "checksum", "left_anti")
@@ -125,13 +125,14 @@ def apply_snapshot_literal(history: DataFrame, snapshot: DataFrame, timestamp: T
     dead = slice_max(gone, "from_ts", ["checksum"]).distinct().withColumn("_dead", F.lit(True))
     ended = history.join(dead, ["checksum", "from_ts"], "left").withColumn("until_ts", F.when(F.col("_dead"), t).otherwise(F.col("until_ts"))).select(history.columns)
     added = new.join(now.select("checksum"), "checksum", "left_anti").join(ended.where(F.col("from_ts") == t).select("checksum"), "checksum", "left_anti")
-    added = added.withColumn("from_ts", t).join(F.broadcast(upcoming)).withColumnRenamed("_next", "until_ts")  # one row
+    added = added.withColumns({"from_ts": t, "until_ts": db_timestamp(upcoming)})
     result = ended.unionByName(added.select(history.columns))
     if out_of_order:
         result = stitch(result)
     elif collapse:
         result = purge(result)
-    counts = added.agg(F.count(F.lit(1)).cast("int").alias("n_insertions")).join(dead.agg(F.count(F.lit(1)).cast("int").alias("n_deactivations")))
+    each = added.select(F.lit(1).alias("i"), F.lit(0).alias("d")).unionAll(dead.select(F.lit(0), F.lit(1)))
+    counts = each.agg(F.coalesce(F.sum("i"), F.lit(0)).cast("int").alias("n_insertions"), F.coalesce(F.sum("d"), F.lit(0)).cast("int").alias("n_deactivations"))
     return SnapshotResult(result, counts)
 
 

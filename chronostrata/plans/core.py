@@ -16,6 +16,7 @@ from chronostrata.functions.timestamps import db_timestamp
 from chronostrata.operators import delta as deltas
 from chronostrata.operators import history, joins, keys, rows, snapdiff
 from chronostrata.operators.interlace import interlace
+from chronostrata.operators.merkle_store import MerkleHistory
 from chronostrata.session import load, scratch
 from chronostrata.sources.store import LATEST, Store
 
@@ -104,6 +105,15 @@ def scd_filtered_update(spark: SparkSession, d: str) -> DataFrame:
     return _text(store.get_table(TABLE, None))
 
 
+def merkle_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The same history, kept up one snapshot at a time by Merkle comparison."""
+    schema = _snapshot(spark, d, 1).schema
+    table = MerkleHistory(spark, scratch(spark, "merkle"), schema, ["k"], fanout=8)
+    for i, t in ((1, T1), (2, T2), (3, T3)):
+        table.apply(_snapshot(spark, d, i), t)
+    return _text(table.read())
+
+
 def slice_custom_cols(spark: SparkSession, d: str) -> DataFrame:
     return history.slice_time(load(spark, d, "slice_time"), "2022-01-01", "from_ts", "until_ts").select("rec_id", "region_id").distinct()
 
@@ -316,7 +326,7 @@ def db_timestamp_literals(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     scd_history, scd_out_of_order, scd_islands, scd_first_snapshot, scd_current, scd_slice_t2, scd_noop_update, scd_same_timestamp,
-    scd_update_counts, scd_filtered_update, slice_custom_cols, slice_multi_cols, checksum_all, checksum_exclude, unite_default, unite_keep, unite_all,
+    scd_update_counts, scd_filtered_update, merkle_stored, slice_custom_cols, slice_multi_cols, checksum_all, checksum_exclude, unite_default, unite_keep, unite_all,
     filter_keys_single, filter_keys_composite, filter_keys_null_key, filter_keys_empty, join_theta, not_in_null_aware,
     interlace_two, interlace_three_named, nrow_table, count_by_ts, delta_open, delta_bounded, delta_replay, delta_replay_out_of_order, delta_log_counts,
     rows_upsert, rows_update, rows_patch, rows_insert, rows_append, rows_delete, snapshot_difference, slice_max, literal_update, checksum_sha256, list_tables, table_exists, log_table, db_timestamp_literals,
@@ -393,6 +403,7 @@ SQL = {
     "scd_filtered_update": f"""WITH a AS ({_S[1]}), b AS ({_S[3]}), f AS (SELECT * FROM b WHERE m IN ('BUILDING', 'CHANGED'))
         SELECT k, n, m, {_SUM} AS checksum, '{T1}' AS from_ts, CASE WHEN m IN ('BUILDING', 'CHANGED') AND NOT EXISTS (SELECT 1 FROM f WHERE f.k = a.k AND f.n = a.n AND f.m = a.m) THEN '{T2}' END AS until_ts FROM a
         UNION ALL SELECT k, n, m, {_SUM}, '{T2}', NULL FROM f WHERE NOT EXISTS (SELECT 1 FROM a WHERE f.k = a.k AND f.n = a.n AND f.m = a.m)""",
+    "merkle_stored": _history_sql(_ALL3, "k, n, m, from_ts, until_ts"),
     "slice_custom_cols": "SELECT DISTINCT rec_id, region_id FROM slice_time WHERE from_ts <= TIMESTAMP '2022-01-01' AND (until_ts IS NULL OR TIMESTAMP '2022-01-01' < until_ts)",
     "slice_multi_cols": "SELECT DISTINCT obs_id FROM observations WHERE (obs_ts <= TIMESTAMP '2022-01-01' OR received_at <= TIMESTAMP '2022-01-01') AND (obs_ts IS NULL OR TIMESTAMP '2022-01-01' < obs_ts + INTERVAL 1 DAY)",
     "checksum_all": "SELECT *, md5(CAST(n_nationkey AS VARCHAR) || '_' || coalesce(n_name, '') || '_' || CAST(n_regionkey AS VARCHAR)) AS checksum FROM (SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT n_nationkey, NULL, n_regionkey FROM nation) AS q",
