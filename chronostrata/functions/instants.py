@@ -16,6 +16,7 @@ seconds, 12-13 milliseconds, 15-16 microseconds and 18-19 nanoseconds.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -266,7 +267,17 @@ def with_instant(df: DataFrame, writers: DataFrame, text: str, into: str, writer
 
     ``writers`` has writer_id, tz and date_order; of repeated writer_ids the smallest tz counts. Rows of unknown
     writers stay, and their zone-less texts give null."""
-    w, z, o = (fresh_name(x, [*df.columns, into]) for x in ("_writer", "_tz", "_order"))
-    one = writers.where("writer_id IS NOT NULL").groupBy(F.col("writer_id").alias(w)).agg(F.min_by("tz", F.struct("tz", "date_order")).alias(z), F.min_by("date_order", F.struct("tz", "date_order")).alias(o))
-    joined = df.join(bounded_broadcast(one), df[writer] == F.col(w), "left")
-    return joined.withColumn(into, to_instant(df.sparkSession, F.col(text), F.col(z), F.col(o))).drop(w, z, o)
+    return reader(df.sparkSession, writers, text, into, writer)(df)
+
+
+def reader(spark: SparkSession, writers: DataFrame, text: str, into: str, writer: str = "writer_id") -> Callable[[DataFrame], DataFrame]:
+    """``with_instant`` for several frames; the size of ``writers`` is looked at once."""
+    habits = F.struct("tz", "date_order")
+    one = bounded_broadcast(writers.where("writer_id IS NOT NULL").groupBy(F.col("writer_id").alias("_w")).agg(F.min_by("tz", habits).alias("_z"), F.min_by("date_order", habits).alias("_o")))
+
+    def read(df: DataFrame) -> DataFrame:
+        w, z, o = (fresh_name(x, [*df.columns, into]) for x in ("_writer", "_tz", "_order"))
+        joined = df.join(one.toDF(w, z, o), F.col(writer) == F.col(w), "left")
+        return joined.withColumn(into, to_instant(spark, F.col(text), F.col(z), F.col(o))).drop(w, z, o)
+
+    return read

@@ -13,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronostrata.session import bounded_broadcast, shuffle_width
+from chronostrata.functions.instants import reader
+from chronostrata.session import shuffle_width
 
 #: At most this many entities are ever divided, as each has over 1 / MAX_DIVIDED of all rows; their list is a few MB.
 MAX_DIVIDED = 65_536
@@ -53,18 +54,12 @@ def delivered(df: DataFrame, writers: DataFrame, entity: str, key: str, text: st
 
     Beside them stands, for each divided entity, one row without key for each branch and snapshot, so that every
     branch knows every snapshot of its entity. The result is hash-partitioned by (entity, branch)."""
-    from chronostrata.functions.instants import to_instant
-
     spark = df.sparkSession
     width = shuffle_width(spark)
     raw = df.where(F.col(entity).isNotNull() & F.col(key).isNotNull())
-    one = writers.where("writer_id IS NOT NULL").groupBy(F.col("writer_id").alias("_w")).agg(F.min_by("tz", F.struct("tz", "date_order")).alias("_tz"), F.min_by("date_order", F.struct("tz", "date_order")).alias("_order"))
-    one = bounded_broadcast(one)
     heavy = divided(raw, entity, width)
-
-    def timed(x: DataFrame) -> DataFrame:
-        return x.join(one, F.col("writer") == F.col("_w"), "left").withColumn("at", to_instant(spark, F.col("text"), F.col("_tz"), F.col("_order"))).drop("_w", "_tz", "_order", "writer", "text").where("at IS NOT NULL")
-
+    read = reader(spark, writers, "text", "at", "writer")
+    timed = lambda x: read(x).drop("writer", "text").where("at IS NOT NULL")
     rows = raw.select(F.col(entity).alias("entity"), F.col(key).alias("key"), F.col(text).alias("text"), F.col(writer).alias("writer"), F.unix_micros(F.col(arrival).cast("timestamp")).alias("arrival"), F.col(tie).alias("tie"), *payload_hashes(payload))
     rows = placed(timed(rows), heavy, "key")
     if heavy is not None:
