@@ -200,7 +200,8 @@ def consistent_form(spark: SparkSession, text: Column, words: list[tuple[str, in
         former = kept(name, lambda: Former(*shipped.value))
         return pa.array([former.text(t) for t in texts.to_pylist()], pa.string())
 
-    return form(text).alias("form")
+    # kept from being evaluated twice, in a pushed-down filter and again for its value
+    return form.asNondeterministic()(text).alias("form")
 
 
 def same_looking_pairs(documents: DataFrame, doc_id: str, text: str, max_cost: int = 0) -> DataFrame:
