@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,7 +97,7 @@ class AsOf:
         if state[0] != key or state[2] is None:
             return summary
         floor = max(now, stack.column("u")[0].as_py()) if stack is not None and stack.num_rows else now
-        old = state[2].filter(pa.compute.greater(state[2].column("u"), floor))
+        old = state[2].filter(pc.greater(state[2].column("u"), floor))
         both = pa.Table.from_batches([x for x in (old, stack) if x is not None and x.num_rows] or [old]).combine_chunks().to_batches()
         return key, now, both[0] if both else None
 

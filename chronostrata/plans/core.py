@@ -29,9 +29,9 @@ _KINDS = {"a": "event_type <> 'view'", "b": "value > 100", "c": "event_type = 'c
 # -- Spark ----------------------------------------------------------------------------------------------------------
 
 
-def _text(df: DataFrame) -> DataFrame:
-    """Timestamps as text."""
-    return df.select(*[(F.col(f"`{c}`").cast("string") if k.startswith("timestamp") else F.col(f"`{c}`")).alias(c) for c, k in df.dtypes])
+def _text(df: DataFrame, *more: str) -> DataFrame:
+    """Timestamps, and numbers of the columns in ``more``, as text: numbers that can be null have no common form elsewhere."""
+    return df.select(*[(F.col(f"`{c}`").cast("string") if k.startswith("timestamp") or c in more else F.col(f"`{c}`")).alias(c) for c, k in df.dtypes])
 
 
 def _snapshot(spark: SparkSession, d: str, i: int) -> DataFrame:
@@ -180,14 +180,14 @@ def _join(how: str, kind: str):
             out = joins.join(x.drop("s"), y.drop("s"), how, na_by="g")
         else:
             out = joins.join(x, y, how, by="s", na_by="g")
-        return out.withColumnsRenamed({"label.y": "label_y"})
+        return _text(out.withColumnsRenamed({"label.y": "label_y"}), "c_custkey", "g", "n_nationkey")
 
     return query
 
 
 def join_theta(spark: SparkSession, d: str) -> DataFrame:
     n, r = load(spark, d, "nation"), load(spark, d, "region")
-    return joins.join(n, r, "left", on='LHS.n_nationkey BETWEEN RHS.r_regionkey * 4 AND RHS.r_regionkey * 5')
+    return _text(joins.join(n, r, "left", on="LHS.n_nationkey BETWEEN RHS.r_regionkey * 4 AND RHS.r_regionkey * 5"), "r_regionkey")
 
 
 def not_in_null_aware(spark: SparkSession, d: str) -> DataFrame:
@@ -202,13 +202,13 @@ def _stays(spark: SparkSession, d: str, kind: str, value: str) -> DataFrame:
 
 
 def interlace_two(spark: SparkSession, d: str) -> DataFrame:
-    return _text(interlace([_stays(spark, d, _KINDS["a"], "a"), _stays(spark, d, _KINDS["b"], "b")], "user_id"))
+    return _text(interlace([_stays(spark, d, _KINDS["a"], "a"), _stays(spark, d, _KINDS["b"], "b")], "user_id"), "a", "b")
 
 
 def interlace_three_named(spark: SparkSession, d: str) -> DataFrame:
     b = _stays(spark, d, _KINDS["b"], "b").withColumnsRenamed({"valid_from": "start", "valid_until": "stop"})
     tables = [_stays(spark, d, _KINDS["a"], "a"), b, _stays(spark, d, _KINDS["c"], "c")]
-    return _text(interlace(tables, ["user_id"], {"t2.from": "start", "t2.until": "stop"}))
+    return _text(interlace(tables, ["user_id"], {"t2.from": "start", "t2.until": "stop"}), "a", "b", "c")
 
 
 def nrow_table(spark: SparkSession, d: str) -> DataFrame:
@@ -362,10 +362,10 @@ _ON = {"by": "x.g = y.g", "na_by": "x.g IS NOT DISTINCT FROM y.g", "mixed": "x.s
 def _join_sql(how: str, kind: str) -> str:
     keyed = ["g", "s"] if kind == "mixed" else ["g"]
     if how in ("semi", "anti"):
-        cols = "c_custkey, g, s, label" if kind == "mixed" else "c_custkey, g, label"
+        cols = "CAST(c_custkey AS VARCHAR) AS c_custkey, CAST(g AS VARCHAR) AS g, label" + ", s" * (kind == "mixed")
         return f"SELECT {cols} FROM {_X} AS x WHERE {'NOT ' * (how == 'anti')}EXISTS (SELECT 1 FROM {_Y} AS y WHERE {_ON[kind]})"
-    key = ", ".join(f"coalesce(x.{k}, y.{k}) AS {k}" for k in keyed)
-    return f"SELECT x.c_custkey, {key}, x.label AS label, y.label AS label_y, y.n_nationkey FROM {_X} AS x {how.upper()} JOIN {_Y} AS y ON {_ON[kind]}"
+    key = ", ".join(f"CAST(coalesce(x.{k}, y.{k}) AS VARCHAR) AS {k}" for k in keyed)
+    return f"SELECT CAST(x.c_custkey AS VARCHAR) AS c_custkey, {key}, x.label AS label, y.label AS label_y, CAST(y.n_nationkey AS VARCHAR) AS n_nationkey FROM {_X} AS x {how.upper()} JOIN {_Y} AS y ON {_ON[kind]}"
 
 
 def _stays_sql(kind: str, value: str) -> str:
@@ -376,7 +376,7 @@ def _interlace_sql(tables: list[str]) -> str:
     parts = [_stays_sql(_KINDS[v], v) for v in tables]
     ends = " UNION ".join(f"SELECT user_id, valid_from AS t FROM {p} AS u{k} UNION SELECT user_id, valid_until FROM {p} AS w{k}" for k, p in enumerate(parts))
     joined = " ".join(f"LEFT JOIN {p} AS t{k} ON t{k}.user_id = axis.user_id AND axis.f >= t{k}.valid_from AND (t{k}.valid_until IS NULL OR axis.u <= t{k}.valid_until)" for k, p in enumerate(parts))
-    values = ", ".join(f"t{k}.{v} AS {v}" for k, v in enumerate(tables))
+    values = ", ".join(f"CAST(t{k}.{v} AS VARCHAR) AS {v}" for k, v in enumerate(tables))
     return f"""WITH points AS ({ends}), axis AS (SELECT user_id, t AS f, lead(t) OVER (PARTITION BY user_id ORDER BY t NULLS LAST) AS u, row_number() OVER (PARTITION BY user_id ORDER BY t NULLS LAST) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM points)
         SELECT axis.user_id, {values}, CAST(axis.f AS VARCHAR) AS valid_from, CAST(axis.u AS VARCHAR) AS valid_until FROM axis {joined} WHERE axis.i < axis.n"""
 
@@ -415,7 +415,7 @@ SQL = {
     "filter_keys_composite": f"SELECT c_custkey, c_mktsegment, c_nationkey FROM customer JOIN {_ALLOWED} AS a ON a.seg = c_mktsegment AND a.nat = c_nationkey",
     "filter_keys_null_key": "SELECT row_id, key_id, obs_2 FROM interlace WHERE obs_2 IS NULL",
     "filter_keys_empty": "SELECT CAST(0 AS BIGINT) AS n",
-    "join_theta": "SELECT n.*, r.* FROM nation AS n LEFT JOIN region AS r ON n.n_nationkey BETWEEN r.r_regionkey * 4 AND r.r_regionkey * 5",
+    "join_theta": "SELECT n.*, CAST(r.r_regionkey AS VARCHAR) AS r_regionkey, r.r_name FROM nation AS n LEFT JOIN region AS r ON n.n_nationkey BETWEEN r.r_regionkey * 4 AND r.r_regionkey * 5",
     "not_in_null_aware": f"SELECT c_custkey, g FROM {_X} AS x WHERE g NOT IN (SELECT g FROM {_Y} AS y WHERE g IS NOT NULL)",
     "interlace_two": _interlace_sql(["a", "b"]),
     "interlace_three_named": _interlace_sql(["a", "b", "c"]),

@@ -84,7 +84,7 @@ def _steps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merkle_customers(spark: SparkSession, d: str) -> DataFrame:
-    return merkle.history(_steps(spark, d), (4, 4)).select("key", F.col("from_us").alias("from_step"), F.col("until_us").alias("until_step"))
+    return merkle.history(_steps(spark, d), (4, 4)).select("key", F.col("from_us").alias("from_step"), F.coalesce(F.col("until_us"), F.lit(0)).alias("until_step"))
 
 
 def changes_customers(spark: SparkSession, d: str) -> DataFrame:
@@ -134,7 +134,7 @@ SQL = {
         w AS (SELECT r.run_id, r.db_table, r.log_date, max(e.log_date) AS low FROM r LEFT JOIN r AS e ON e.db_table = r.db_table AND e.start_time < r.start_time GROUP BY r.run_id, r.db_table, r.log_date)
         SELECT DISTINCT w.run_id, x.rec_id FROM w JOIN delta_export AS x ON x.db_table = w.db_table AND ((x.from_ts < w.log_date AND (w.low IS NULL OR x.from_ts >= w.low)) OR (x.until_ts < w.log_date AND (w.low IS NULL OR x.until_ts >= w.low)))""",
     "merkle_customers": _STEPS + """, g AS (SELECT *, step - row_number() OVER (PARTITION BY k, m ORDER BY step) AS g FROM s), r AS (SELECT k, m, min(step) AS a, max(step) + 1 AS b FROM g GROUP BY k, m, g)
-        SELECT k AS key, CAST(a AS BIGINT) AS from_step, CAST(CASE WHEN b <= 3 THEN b END AS BIGINT) AS until_step FROM r""",
+        SELECT k AS key, CAST(a AS BIGINT) AS from_step, CAST(CASE WHEN b <= 3 THEN b ELSE 0 END AS BIGINT) AS until_step FROM r""",
     "changes_customers": _STEPS + """ SELECT coalesce(a.k, b.k) AS key, CAST(coalesce(a.step, b.step + 1) AS BIGINT) AS step, CASE WHEN b.k IS NULL THEN 'added' WHEN a.k IS NULL THEN 'removed' ELSE 'changed' END AS kind
         FROM s AS a FULL JOIN s AS b ON a.k = b.k AND a.step = b.step + 1 WHERE coalesce(a.step, b.step + 1) IN (2, 3) AND (a.k IS NULL OR b.k IS NULL OR a.m IS DISTINCT FROM b.m)""",
     "instants_orders": "SELECT o_orderkey, strftime(CASE WHEN o_orderkey % 8 IN (4, 6, 7) THEN date_trunc('minute', o_orderdate) WHEN o_orderkey % 8 = 3 THEN o_orderdate ELSE date_trunc('second', o_orderdate) END, '%Y-%m-%dT%H:%M:%S.%fZ') AS utc FROM orders",
