@@ -6,7 +6,8 @@ the same width, so a parser reads its fields as column slices of an (n x width)
 the versioned transition tables of ``zones``. No step handles single rows.
 
 Defined results. Null, empty and unreadable texts, impossible dates and times and local times whose zone is unknown
-give null. Surrounding spaces don't count. Digits finer than microseconds are cut off. A named zone or offset wins
+give null. Surrounding white space of any length doesn't count. Digits finer than microseconds are cut off, however
+many they are. The grammar alone decides what is read: no length of a text and no year up to 9999 is a border. A named zone or offset wins
 over the writer's zone; an abbreviation means what the writer's own zone means by it, else the fixed table. A local
 time that occurs twice is the earlier instant, a skipped one moves forward by the skip, a date alone is its
 midnight. Digits alone: 14, 8, 12, 17 or 20 of them are a local date and time where they form one; else 1-11 count
@@ -21,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,15 +43,25 @@ MONTHS = ("january", "february", "march", "april", "may", "june", "july", "augus
 _CLASS = np.frombuffer(bytes(57 if 48 <= b <= 57 else 97 if 65 <= b <= 90 or 97 <= b <= 122 else b if 32 <= b < 127 else 32 if b in (9, 10, 13) else 63 for b in range(256)), dtype=np.uint8)
 
 _DATE = r"(?:(?P<y1>9{4})-(?P<m1>99?)-(?P<d1>99?)|(?P<y2>9{4})/(?P<m2>99?)/(?P<d2>99?)|(?P<d3>99?)\.(?P<m3>99?)\.(?P<y3>9{4})|(?P<p>99?)/(?P<q>99?)/(?P<y4>9{4})|(?:a{3,9},? )?(?P<d5>99?)[ -](?P<n5>a{3,9})\.?,?[ -](?P<y5>9{4})|(?:a{3,9},? )?(?P<n6>a{3,9})\.? (?P<d6>99?),? (?P<y6>9{4}))"
-_CLOCK = r"(?P<H>99?):(?P<M>99)(?::(?P<S>99)(?:[.,](?P<f>9{1,12}))?)?(?: ?(?P<ap>aa)(?![a/]))?"
+_CLOCK = r"(?P<H>99?):(?P<M>99)(?::(?P<S>99)(?:[.,](?P<f>9+))?)?(?: ?(?P<ap>aa)(?![a/]))?"
 _ZONE = r"(?: ?(?P<z>a)| ?(?P<sg>[+-])(?P<zh>99):?(?P<zm>99)?| (?P<zn>a{2,5}|a+(?:[/_+-][a9]+)+))?"
-_GRAMMAR = re.compile(rf" *{_DATE}(?:(?:(?P<T>a)|,? +){_CLOCK}{_ZONE})? *")
-_COMPACT = re.compile(rf" *(?P<y1>9{{4}})(?P<m1>99)(?P<d1>99)(?P<T>a)(?P<H>99)(?P<M>99)(?:(?P<S>99)(?:[.,](?P<f>9{{1,12}}))?)?{_ZONE} *")
-_DIGITS = re.compile(r" *(?P<n>9{1,20}) *")
+_GRAMMAR = re.compile(rf"{_DATE}(?:(?:(?P<T>a)|,? +){_CLOCK}{_ZONE})?")
+_COMPACT = re.compile(rf"(?P<y1>9{{4}})(?P<m1>99)(?P<d1>99)(?P<T>a)(?P<H>99)(?P<M>99)(?:(?P<S>99)(?:[.,](?P<f>9+))?)?{_ZONE}")
+_DIGITS = re.compile(r"(?P<n>9{1,20})")
 _LOCAL_DIGITS = {8: "y1m1d1", 12: "y1m1d1HM", 14: "y1m1d1HMS", 17: "y1m1d1HMSf", 20: "y1m1d1HMSf"}
 _COUNTS = ((11, 1_000_000, 1), (13, 1000, 1), (16, 1, 1), (19, 1, 1000))
 
 
+#: Masks up to this length are remembered once compiled; longer ones are compiled again in each batch, so that memory is bounded.
+REMEMBERED_CHARS = 256
+#: Characters that are read at once, to bound memory.
+CELLS = 4_000_000
+
+
+def parser(mask: str) -> dict[str, tuple[int, int]] | None:
+    return compile_mask(mask) if len(mask) <= REMEMBERED_CHARS else compile_mask.__wrapped__(mask)
+
+
 @lru_cache(maxsize=4096)
 def compile_mask(mask: str) -> dict[str, tuple[int, int]] | None:
     """The byte ranges of a mask's fields, None for a shape that no time has. Called once for each distinct mask."""
@@ -117,10 +129,7 @@ class _Batch:
             self.names.append(name)
         return self.names.index(name)
 
-    def read(self, mask: str, mat: np.ndarray, rows: np.ndarray) -> None:
-        f = compile_mask(mask)
-        if f is None:
-            return
+    def read(self, f: dict[str, tuple[int, int]], mat: np.ndarray, rows: np.ndarray) -> None:
         if "digits" in f:
             return self.digits(f["digits"], mat, rows)
         n = len(rows)
@@ -210,7 +219,7 @@ def parse(text: pa.Array, tz: pa.Array, order: pa.Array, table: dict[str, Zone])
     n = len(text)
     if not n:
         return pa.array([], pa.int64())
-    text = pa.concat_arrays([text.cast(pa.large_string())])
+    text = pa.concat_arrays([pc.ascii_trim_whitespace(text.cast(pa.large_string()))])
     _, offsets, data = text.buffers()
     offsets = np.frombuffer(offsets, dtype=np.int64)[text.offset : text.offset + n + 1]
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
@@ -227,8 +236,11 @@ def parse(text: pa.Array, tz: pa.Array, order: pa.Array, table: dict[str, Zone])
     ends = np.searchsorted(code[by], np.arange(-1, len(shapes)), side="right")
     for k, mask in enumerate(shapes):
         rows = by[ends[k] : ends[k + 1]]
-        if mask and len(rows) and len(mask) < 80:
-            batch.read(mask, data[offsets[rows][:, None] + np.arange(len(mask))], rows)
+        if mask and len(rows) and (fields := parser(mask)) is not None:
+            step = max(1, CELLS // len(mask))
+            for at in range(0, len(rows), step):
+                part = rows[at : at + step]
+                batch.read(fields, data[offsets[part][:, None] + np.arange(len(mask))], part)
     known = batch.resolve()
     return pa.array(batch.value, mask=~known)
 

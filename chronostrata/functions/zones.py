@@ -16,8 +16,41 @@ from zoneinfo import TZPATH, ZoneInfo, available_timezones
 
 import numpy as np
 
-#: Years up to which a zone's recurring rule is unrolled into transitions.
-LAST_YEAR = 2100
+#: Years from which on a recurring rule is no longer unrolled. Of the 28 years before, each shape of a year (its length and the weekday it
+#: begins with) occurs, and no explicit transition of today's zone data: a later year is looked up as the one of its shape.
+LAST_YEAR = 2129
+_SHAPED = range(LAST_YEAR - 28, LAST_YEAR)
+DAY = 86_400
+
+
+def _new_year(years: np.ndarray) -> np.ndarray:
+    """Days from 1970-01-01 to the first day of each year."""
+    return (years - 1970).astype("datetime64[Y]").astype("datetime64[D]").astype(np.int64)
+
+
+def _shape(years: np.ndarray) -> np.ndarray:
+    """0-13: the weekday of the first of January, and whether there are 366 days."""
+    first = _new_year(years)
+    return first % 7 * 2 + (_new_year(years + 1) - first - 365)
+
+
+@lru_cache(maxsize=1)
+def _year_of_shape() -> np.ndarray:
+    years = np.array(_SHAPED)
+    out = np.zeros(14, dtype=np.int64)
+    out[_shape(years)] = years
+    return out
+
+
+def within_tables(local_s: np.ndarray) -> np.ndarray:
+    """Local seconds of later years as the same moment of the year in a year of the same shape."""
+    late = local_s >= _new_year(np.array([LAST_YEAR]))[0] * DAY
+    if not late.any():
+        return local_s
+    out = local_s.copy()
+    years = (local_s[late] // DAY).astype("datetime64[D]").astype("datetime64[Y]").astype(np.int64) + 1970
+    out[late] -= (_new_year(years) - _new_year(_year_of_shape()[_shape(years)])) * DAY
+    return out
 
 
 @dataclass(frozen=True)
@@ -31,9 +64,11 @@ class Zone:
     border: np.ndarray
     offset: np.ndarray
     abbreviations: dict[str, int]
+    recurring: bool = False
 
     def to_utc(self, local_us: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.border, np.floor_divide(local_us, 1_000_000), side="right")
+        local = np.floor_divide(local_us, 1_000_000)
+        at = np.searchsorted(self.border, within_tables(local) if self.recurring else local, side="right")
         return local_us - self.offset[at] * 1_000_000
 
 
@@ -103,13 +138,14 @@ def build(name: str) -> Zone | None:
     if raw is None:
         return None
     when, after, first, abbreviations = _transitions(raw)
-    if raw.rstrip(b"\n").rpartition(b"\n")[2].count(b","):  # the footer holds a recurring rule
+    recurring = raw.rstrip(b"\n").rpartition(b"\n")[2].count(b",") > 0  # the footer holds a rule
+    if recurring:
         for t, o in _later(name, when[-1] if when else 0):
             when.append(t)
             after.append(o)
     offset = np.array([first, *after], dtype=np.int64)
     border = np.array(when, dtype=np.int64) + np.maximum(offset[:-1], offset[1:])
-    return Zone(np.maximum.accumulate(border) if len(border) else border, offset, abbreviations)
+    return Zone(np.maximum.accumulate(border) if len(border) else border, offset, abbreviations, recurring)
 
 
 @lru_cache(maxsize=1)

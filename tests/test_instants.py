@@ -75,6 +75,29 @@ def test_local_times_as_zoneinfo_has_them(moments):
     assert got == [us(m.replace(tzinfo=ZoneInfo(z), fold=0)) for m, z in moments]
 
 
+@given(st.lists(st.tuples(st.datetimes(datetime(1850, 1, 1), datetime(9999, 12, 30)), st.sampled_from([*ZONES, "Europe/Berlin", "America/Santiago", "Asia/Gaza", "Australia/Lord_Howe", "Europe/Dublin"]), st.integers(0, 500), st.text("0123456789", min_size=1, max_size=30), st.sampled_from(" \t\n")), min_size=1, max_size=40))
+@settings(max_examples=60, deadline=None)
+def test_no_padding_fraction_or_year_is_a_border(moments):
+    text = [s * n + m.strftime("%Y-%m-%d %H:%M:%S.").zfill(20) + f + s * (n // 3) for m, _, n, f, s in moments]
+    tz = [z for _, z, *_ in moments]
+    got = parse(pa.array(text), pa.array(tz), pa.array(["dmy"] * len(tz)), zones.tables()).to_pylist()
+    assert got == [us(m.replace(tzinfo=ZoneInfo(z), fold=0, microsecond=int(f[:6].ljust(6, "0")))) for m, z, _, f, _ in moments]
+
+
+@pytest.mark.parametrize("zone", ["Europe/Berlin", "America/Santiago", "Asia/Gaza", "Africa/Casablanca", "America/Nuuk"])
+def test_every_day_of_far_years(zone):
+    days = [datetime(y, 1, 1, 12) + timedelta(days=d) for y in (2087, 2099, 2100, 2101, 2128, 2129, 2150, 2200, 2400, 9998) for d in range(365)]
+    got = zones.tables()[zone.lower()].to_utc(np.array([us(m.replace(tzinfo=UTC)) for m in days]))
+    assert got.tolist() == [us(m.replace(tzinfo=ZoneInfo(zone))) for m in days]
+
+
+def test_long_texts():
+    assert one("Wednesday, September 30, 2020 12:30:45.123456 PM America/Argentina/ComodRivadavia") == "2020-09-30T15:30:45.123456Z"
+    assert one("2020-01-01 00:00:00" + " " * 100_000) == "2020-01-01T00:00:00.000000Z"
+    assert one("2020-01-01 00:00:00." + "1" * 100_000) == "2020-01-01T00:00:00.111111Z"
+    assert one("9" * 100_000) is None and one("a" * 100_000) is None
+
+
 @given(st.lists(st.one_of(st.none(), st.text(max_size=30), st.text(alphabet="0123456789-:/. TZ+amp", max_size=26)), max_size=40))
 @settings(max_examples=200, deadline=None)
 def test_any_text_is_read_or_null(texts):
