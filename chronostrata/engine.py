@@ -73,9 +73,10 @@ def update_snapshot(data: DataFrame, store: Store, db_table: str | TableId, time
             store.commit(name, result.history, keep=[p for p in state["parts"] if not p["is_open"]], **facts)
             counts = {k: int(v or 0) for k, v in seen.get.items()}
         else:
-            result = apply_snapshot(target, data, t, upcoming, filters)
-            counts = result.counts.first().asDict()
+            seen = Observation()
+            result = apply_snapshot(target, data, t, upcoming, filters, observation=seen)
             store.commit(name, result.history, **facts)
+            counts = {k: int(v or 0) for k, v in seen.get.items()}
         logger.log_to_db(**counts, message=message)
         logger.finalize_db_entry()
         return counts
@@ -100,7 +101,7 @@ def delta_load(store: Store, db_table: str | TableId, delta: Delta | list[Delta]
         return
     name = store.id(db_table)
     if not lock_table(store, name):
-        raise RuntimeError(f"Failed to achieve lock on table ({name}) -- delta not applied!")
+        raise RuntimeError(f"another writer holds {name}, so the delta was left out")
     try:
         rows = cut(delta.data)
         if not store.table_exists(name):

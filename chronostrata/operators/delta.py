@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronostrata.functions.timestamps import Timestamp, db_timestamp, to_ts
+from chronostrata.operators.history import identity
 from chronostrata.operators.keys import META
 
 
@@ -34,15 +35,20 @@ def export_delta(history: DataFrame, timestamp_from: Timestamp, timestamp_until:
     return Delta(rows.select(history.columns), timestamp_from, timestamp_until, kept)
 
 
+def _keyed(rows: DataFrame, payload: list[str], name: str) -> DataFrame:
+    """(id, from_ts, ``name``): the rows as structs under what identifies a version."""
+    return rows.select(identity(rows, payload).alias("id"), F.col("from_ts").alias("since"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias(name))
+
+
 def apply_delta(history: DataFrame, delta: DataFrame) -> DataFrame:
-    """Adds the records the history lacks and fills the ends it doesn't know; one full join on (checksum, from_ts). The
+    """Adds the versions the history lacks and fills the ends it doesn't know; one full join by record and from_ts. The
     order in which deltas are applied doesn't matter and applying one again changes nothing. Ends that are set and
-    records that are gone in the source aren't taken over."""
+    records that are gone in the source aren't taken over. Of repeated versions of a delta the latest end counts."""
     columns = history.columns
-    d = delta.groupBy("checksum", "from_ts").agg(*[(F.max if c == "until_ts" else F.first)(f"`{c}`").alias(c) for c in columns if c not in ("checksum", "from_ts")])
-    a = history.select("checksum", "from_ts", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("h"))
-    b = d.select("checksum", "from_ts", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("d"))
-    both = a.join(b, ["checksum", "from_ts"], "full")
+    payload = [c for c in columns if c not in META]
+    ends = F.struct(F.col("d.until_ts").alias("u"), F.col("d").alias("d"))
+    once = _keyed(delta.select(*[f"`{c}`" for c in columns]), payload, "d").groupBy("id", "since").agg(F.max(ends).alias("last")).select("id", "since", F.col("last.d").alias("d"))
+    both = _keyed(history, payload, "h").join(once, ["id", "since"], "full")
     value = lambda c: F.coalesce(F.col("h.until_ts"), F.col("d.until_ts")) if c == "until_ts" else F.when(F.col("h").isNotNull(), F.col(f"h.`{c}`")).otherwise(F.col(f"d.`{c}`"))
     return both.select(*[value(c).alias(c) for c in columns])
 
@@ -50,10 +56,12 @@ def apply_delta(history: DataFrame, delta: DataFrame) -> DataFrame:
 def delta_counts(history: DataFrame, delta: DataFrame) -> DataFrame:
     """(ts, n_insertions, n_deactivations) that applying the delta to ``history`` logs, for each instant. One pass: the
     two counts are one grouping of a stacked table instead of a full join of two."""
-    known = history.select("checksum", "from_ts", F.col("until_ts").alias("_u"), F.lit(True).alias("_k")).dropDuplicates(["checksum", "from_ts"])
-    rows = delta.join(known, ["checksum", "from_ts"], "left")
-    new = F.when(F.col("_k").isNull(), F.struct(F.col("from_ts").alias("ts"), F.lit(1).alias("i"), F.lit(0).alias("d")))
-    dead = F.when(F.col("until_ts").isNotNull() & (F.col("_k").isNull() | ~F.col("_u").eqNullSafe(F.col("until_ts"))), F.struct(F.col("until_ts").alias("ts"), F.lit(0).alias("i"), F.lit(1).alias("d")))
+    payload = [c for c in history.columns if c not in META]
+    known = history.select(identity(history, payload).alias("id"), F.col("from_ts").alias("since"), F.col("until_ts").alias("u")).groupBy("id", "since").agg(F.max("u").alias("u"), F.lit(True).alias("k"))
+    news = delta.select(identity(delta, payload).alias("id"), F.col("from_ts").alias("since"), F.col("until_ts").alias("until")).distinct()
+    rows = news.join(known, ["id", "since"], "left")
+    new = F.when(F.col("k").isNull(), F.struct(F.col("since").alias("ts"), F.lit(1).alias("i"), F.lit(0).alias("d")))
+    dead = F.when(F.col("until").isNotNull() & (F.col("k").isNull() | ~F.col("u").eqNullSafe(F.col("until"))), F.struct(F.col("until").alias("ts"), F.lit(0).alias("i"), F.lit(1).alias("d")))
     return rows.select(F.inline(F.array_compact(F.array(new, dead)))).groupBy("ts").agg(F.sum("i").cast("int").alias("n_insertions"), F.sum("d").cast("int").alias("n_deactivations"))
 
 

@@ -2,6 +2,9 @@
 
 A historical table is payload + checksum, from_ts, until_ts; a row holds in [from_ts, until_ts), without end if
 until_ts is null.
+
+The checksum is what readers see, and different payloads can share one (null and '' look alike in it, and '_' in a
+value looks like the separator). So records are told apart by ``identity``, under which they can't.
 """
 
 from __future__ import annotations
@@ -9,12 +12,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from chronostrata.functions.checksum import checksum_of
 from chronostrata.functions.timestamps import Timestamp, db_timestamp
 from chronostrata.operators.keys import META, filter_keys
+from chronostrata.session import fresh_name
 
 
 def slice_time(df: DataFrame, slice_ts: Timestamp, from_ts: str | list[str] = "from_ts", until_ts: str | list[str] = "until_ts") -> DataFrame:
@@ -37,16 +41,26 @@ class SnapshotResult:
     counts: DataFrame
 
 
+def identity(df: DataFrame, payload: list[str]) -> Column:
+    """One text for each distinct payload, null and '' apart."""
+    return checksum_of(df, payload, safe=True)
+
+
+def _payload(columns: list[str]) -> list[str]:
+    return [c for c in columns if c not in META]
+
+
 def stitch(history: DataFrame) -> DataFrame:
-    """Joins rows of one checksum whose intervals touch or overlap, and drops empty ones."""
-    w = Window.partitionBy("checksum").orderBy("from_ts", F.col("until_ts").asc_nulls_last())
+    """Joins rows of one record whose intervals touch or overlap, and drops empty ones."""
+    new, island, ident = (fresh_name(n, history.columns) for n in ("_new", "_island", "_id"))
+    w = Window.partitionBy(ident).orderBy("from_ts", F.col("until_ts").asc_nulls_last())
     far = F.lit("9999-12-31 23:59:59.999999").cast("timestamp_ntz")
     reach = F.max(F.coalesce("until_ts", far)).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    payload = [c for c in history.columns if c not in META]
-    rows = purge(history).withColumn("_new", F.when(reach.isNull() | (reach < F.col("from_ts")), 1).otherwise(0))
-    rows = rows.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    payload = _payload(history.columns)
+    rows = purge(history).withColumn(ident, identity(history, payload)).withColumn(new, F.when(reach.isNull() | (reach < F.col("from_ts")), 1).otherwise(0))
+    rows = rows.withColumn(island, F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     end = F.max(F.coalesce("until_ts", far))
-    merged = rows.groupBy("checksum", "_island").agg(*[F.first(f"`{c}`").alias(c) for c in payload], F.min("from_ts").alias("from_ts"), F.nullif(end, far).alias("until_ts"))
+    merged = rows.groupBy(ident, island).agg(*[F.first(f"`{c}`").alias(c) for c in [*payload, "checksum"]], F.min("from_ts").alias("from_ts"), F.nullif(end, far).alias("until_ts"))
     return merged.select(history.columns)
 
 
@@ -55,18 +69,24 @@ def purge(history: DataFrame) -> DataFrame:
     return history.where("until_ts IS NULL OR from_ts <> until_ts")
 
 
-def checksummed(snapshot: DataFrame, payload: list[str], filters: DataFrame | None = None, safe: bool = False) -> DataFrame:
-    """The snapshot's rows inside ``filters``, in the target's column order, with their checksum; repeated rows once."""
+def checksummed(snapshot: DataFrame, payload: list[str], filters: DataFrame | None = None, safe: bool = False, ident: str | None = None) -> DataFrame:
+    """The snapshot's rows inside ``filters``, in the target's column order, with their checksum and, as ``ident`` if that
+    is named, their identity; repeated rows once."""
     rows = filter_keys(snapshot, filters).select(*[f"`{c}`" for c in payload])
-    return rows.withColumn("checksum", checksum_of(rows, payload, safe)).dropDuplicates(["checksum"])
+    name = ident or fresh_name("_id", [*payload, "checksum"])
+    once = rows.withColumns({"checksum": checksum_of(rows, payload, safe), name: identity(rows, payload)}).dropDuplicates([name])
+    return once if ident else once.drop(name)
 
 
-def _scoped(history: DataFrame, filters: DataFrame | None) -> DataFrame:
-    """``history`` with the column _in: whether a row lies inside the filters."""
+def _scoped(history: DataFrame, filters: DataFrame | None, ident: str, inside: str) -> DataFrame:
+    """``history`` with its identities, and the column ``inside``: whether a row lies inside the filters."""
+    payload = _payload(history.columns)
+    rows = history.withColumn(ident, identity(history, payload))
     if filters is None:
-        return history.withColumn("_in", F.lit(True))
-    keys = filter_keys(history, filters.distinct()).select("checksum").distinct().withColumn("_in", F.lit(True))
-    return history.join(keys, "checksum", "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
+        return rows.withColumn(inside, F.lit(True))
+    kept = filter_keys(history, filters.distinct())
+    keys = kept.select(identity(kept, payload).alias(ident)).distinct().withColumn(inside, F.lit(True))
+    return rows.join(keys, ident, "left").withColumn(inside, F.coalesce(inside, F.lit(False)))
 
 
 def apply_snapshot(history: DataFrame, snapshot: DataFrame, timestamp: Timestamp, upcoming: Timestamp | None = None, filters: DataFrame | None = None, safe: bool = False, fresh: bool = False, observation: Observation | None = None) -> SnapshotResult:
@@ -75,46 +95,44 @@ def apply_snapshot(history: DataFrame, snapshot: DataFrame, timestamp: Timestamp
     ``upcoming`` is the instant of the next snapshot that was applied already (None if this is the latest). It must come
     from the registry of snapshots, not from the history, which can't show snapshots that changed nothing. Records
     outside ``filters`` are left alone. Of a record that held across the snapshot and isn't in it, the part before
-    stays, and the part from ``upcoming`` on, where a later snapshot had confirmed it. One full join by checksum.
+    stays, and the part from ``upcoming`` on, where a later snapshot had confirmed it. One full join by identity.
 
     With ``fresh`` the caller vouches that ``timestamp`` is later than every snapshot so far: nothing can have become
     adjacent then, and ``history`` may be its open rows alone. ``observation`` gets the counts as the result is written.
     """
-    payload = [c for c in history.columns if c not in META]
+    payload = _payload(history.columns)
+    ident, inside = (fresh_name(n, history.columns) for n in ("_id", "_in"))
     t, nxt = db_timestamp(timestamp), db_timestamp(upcoming)
-    held = F.col("_in") & (F.col("from_ts") <= t) & (F.col("until_ts").isNull() | (t < F.col("until_ts")))
-    rows = _scoped(history, filters).withColumn("_held", held)
-    now = rows.where("_held").drop("_in", "_held")
-    rest = rows.where("NOT _held").select(history.columns)
-    new = checksummed(snapshot, payload, filters, safe)
-    left = now.select("checksum", F.struct(*[F.col(f"`{c}`") for c in history.columns]).alias("h"))
-    right = new.select("checksum", F.struct(*[F.col(f"`{c}`") for c in payload]).alias("s"))
-    both = left.join(right, "checksum", "full")
+    held = F.col(inside) & (F.col("from_ts") <= t) & (F.col("until_ts").isNull() | (t < F.col("until_ts")))
+    rows = _scoped(history, filters, ident, inside)
+    columns = [F.col(f"`{c}`") for c in history.columns]
+    rest = rows.where(~F.coalesce(held, F.lit(False))).select(*columns)
+    new = checksummed(snapshot, payload, filters, safe, ident)
+    left = rows.where(held).select(F.col(ident).alias("id"), F.struct(*columns).alias("h"))
+    right = new.select(F.col(ident).alias("id"), F.struct(*[F.col(f"`{c}`") for c in [*payload, "checksum"]]).alias("s"))
+    both = left.join(right, "id", "full")
     tallies = [F.count_if(F.col("h").isNull()).cast("int").alias("n_insertions"), F.count_if(F.col("s").isNull()).cast("int").alias("n_deactivations")]
     if observation is not None:
         both = both.observe(observation, *tallies)
-    row = lambda source, a, b: F.struct(*[F.col(f"{source}.`{c}`").alias(c) for c in payload], F.col("checksum"), a.alias("from_ts"), b.alias("until_ts"))
+    row = lambda source, a, b: F.struct(*[F.col(f"{source}.`{c}`").alias(c) for c in [*payload, "checksum"]], a.alias("from_ts"), b.alias("until_ts"))
     kept = F.when(F.col("h").isNotNull() & F.col("s").isNotNull(), row("h", F.col("h.from_ts"), F.col("h.until_ts")))
     head = F.when(F.col("s").isNull() & (F.col("h.from_ts") < t), row("h", F.col("h.from_ts"), t))
     tail = F.when(F.col("s").isNull() & nxt.isNotNull() & (F.col("h.until_ts").isNull() | (F.col("h.until_ts") > nxt)), row("h", nxt, F.col("h.until_ts")))
     added = F.when(F.col("h").isNull(), row("s", t, nxt))
-    changed = both.select(F.inline(F.array_compact(F.array(kept, head, tail, added)))).select(history.columns)
-    # only rows that touch one of the two instants can have become neighbours
-    at = lambda c: (F.col(c) == t) | F.coalesce(F.col(c) == nxt, F.lit(False))
-    touching = F.coalesce(at("from_ts"), F.lit(False)) | F.coalesce(at("until_ts"), F.lit(False))
+    changed = both.select(F.inline(F.array_compact(F.array(kept, head, tail, added)))).select(*columns)
     everything = rest.unionByName(changed)
-    if fresh:
-        return SnapshotResult(everything, both.agg(*tallies))
-    result = everything.where(~touching).unionByName(stitch(everything.where(touching)))
-    return SnapshotResult(result, both.agg(*tallies))
+    return SnapshotResult(everything if fresh else stitch(everything), both.agg(*tallies))
 
 
 def apply_snapshot_literal(history: DataFrame, snapshot: DataFrame, timestamp: Timestamp, filters: DataFrame | None = None, out_of_order: bool = False, collapse: bool = False) -> SnapshotResult:
     """The update by the older rules, for those who need their results: the next instant is looked up in the history itself
     and is unknown if no record began or none ended later; a record that held across a late snapshot loses its later
-    part; without ``collapse``, records of zero length stay unless the snapshot is late."""
-    payload = [c for c in history.columns if c not in META]
+    part; without ``collapse``, records of zero length stay unless the snapshot is late. These rules know records by
+    their checksum alone, so payloads of the snapshot that share one are an error."""
+    payload = _payload(history.columns)
     t = db_timestamp(timestamp)
+    if clash := checksummed(snapshot, payload, filters).groupBy("checksum").count().where("count > 1").limit(1).collect():
+        raise ValueError(f"different records have the checksum {clash[0][0]}: the literal rules can't tell them apart")
     begins, ends = history.agg(*[F.min(F.when(F.col(c) > t, F.col(c))) for c in ("from_ts", "until_ts")]).first()
     upcoming = min(begins, ends) if begins is not None and ends is not None else None
     new = checksummed(snapshot, payload, filters)
@@ -157,7 +175,8 @@ def islands(snapshots: list[tuple[DataFrame, Timestamp]], payload: list[str]) ->
     snapshots. Same result as ``apply_snapshot`` in any order."""
     order = sorted(range(len(snapshots)), key=lambda k: str(db_timestamp(snapshots[k][1])))
     instants = F.array(*[db_timestamp(snapshots[k][1]) for k in order])
-    rows = reduce(DataFrame.unionByName, [checksummed(snapshots[k][0], payload).withColumn("_i", F.lit(i)) for i, k in enumerate(order)])
-    w = Window.partitionBy("checksum").orderBy("_i")
-    runs = rows.withColumn("_g", F.col("_i") - F.row_number().over(w)).groupBy("checksum", "_g").agg(*[F.first(f"`{c}`").alias(c) for c in payload], F.min("_i").alias("_a"), F.max("_i").alias("_b"))
-    return runs.select(*payload, "checksum", instants[F.col("_a")].alias("from_ts"), F.get(instants, F.col("_b") + 1).alias("until_ts"))
+    ident, i, g, a, b = (fresh_name(n, payload) for n in ("_id", "_i", "_g", "_a", "_b"))
+    rows = reduce(DataFrame.unionByName, [checksummed(snapshots[k][0], payload, ident=ident).withColumn(i, F.lit(n)) for n, k in enumerate(order)])
+    w = Window.partitionBy(ident).orderBy(i)
+    runs = rows.withColumn(g, F.col(i) - F.row_number().over(w)).groupBy(ident, g).agg(*[F.first(f"`{c}`").alias(c) for c in [*payload, "checksum"]], F.min(i).alias(a), F.max(i).alias(b))
+    return runs.select(*[f"`{c}`" for c in payload], "checksum", instants[F.col(a)].alias("from_ts"), F.get(instants, F.col(b) + 1).alias("until_ts"))

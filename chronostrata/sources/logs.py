@@ -110,7 +110,7 @@ class Logger:
     def log_to_db(self, **fields: Any) -> None:
         """Sets fields of this run's row; the row is written once, when it is final."""
         if self._final:
-            raise RuntimeError("Logger has already been finalized. Cannot write to database log table.")
+            raise RuntimeError("this run's log row is closed: set another timestamp to begin a new one")
         known = {p.split()[0] for p in LOG_SCHEMA.split(", ")}
         if unknown := set(fields) - known:
             raise ValueError(f"not a field of the log: {', '.join(sorted(unknown))}")

@@ -208,3 +208,26 @@ def test_literal_rules_agree_in_order(spark, store):
 def test_slice_max_keeps_ties(spark):
     df = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("a", 2, 3), (None, 5, 4), (None, None, 5), ("b", None, 6)], "g string, o int, i int")
     assert sorted(r["i"] for r in history.slice_max(df, "o", ["g"]).collect()) == [2, 3, 4]
+
+
+ODD = [("a_b", "c"), ("a", "b_c"), ("", "z"), (None, "z"), ("", None), (None, None)]
+
+
+def test_records_of_one_checksum_are_all_kept(spark, store):
+    """'_' in values, empty texts and nulls: payloads that share a checksum are different records all the same."""
+    made = lambda rows: spark.createDataFrame(rows, "_id string, _in string")
+    pairs = lambda df: sorted(((r["_id"], r["_in"]) for r in df.collect()), key=str)
+    assert engine.update_snapshot(made(ODD * 2), store, T, "2022-01-01") == {"n_insertions": 6, "n_deactivations": 0}
+    assert pairs(store.get_table(T)) == sorted(ODD, key=str) and store.get_table(T, None).select("checksum").distinct().count() == 3
+    assert engine.update_snapshot(made(ODD[::2]), store, T, "2022-03-01") == {"n_insertions": 0, "n_deactivations": 3}
+    engine.update_snapshot(made(ODD[1:]), store, T, "2022-02-01", enforce_chronological_order=False)
+    for t, want in (("2022-01-01", ODD), ("2022-02-01", ODD[1:]), ("2022-03-01", ODD[::2])):
+        assert pairs(store.get_table(T, t)) == sorted(want, key=str), t
+    islands = history.islands([(made(ODD), "2022-01-01"), (made(ODD[1:]), "2022-02-01"), (made(ODD[::2]), "2022-03-01")], ["_id", "_in"])
+    assert sorted(map(str, islands.collect())) == sorted(map(str, store.get_table(T, None).collect()))
+    engine.delta_load(store, "test.copy", [engine.delta_export(store, T, "2022-02-01"), engine.delta_export(store, T, "2022-01-01", "2022-02-01")])
+    assert sorted(map(str, store.get_table("test.copy", None).collect())) == sorted(map(str, store.get_table(T, None).collect()))
+    engine.update_snapshot(made([("", "z")]), store, T, "2022-04-01", filters=spark.createDataFrame([("",)], "_id string"))
+    assert pairs(store.get_table(T)) == [("", "z"), ("a_b", "c")]
+    with pytest.raises(ValueError, match="literal rules"):
+        engine.update_snapshot(made(ODD), store, T, "2022-05-01", literal=True)

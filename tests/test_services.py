@@ -130,7 +130,7 @@ def test_logger(spark, store, tmp_path, capsys):
         log.log_to_db(nothing=1)
     log.finalize_db_entry(datetime(2024, 5, 1, 10, 32))
     log.finalize_db_entry()
-    with pytest.raises(RuntimeError, match="finalized"):
+    with pytest.raises(RuntimeError, match="closed"):
         log.log_to_db(n_insertions=4)
     log.set_timestamp("2024-01-01 00:00")  # the same instant
     assert log.finalized
