@@ -91,13 +91,13 @@ def test_watermark_export_skips_and_repeats_nothing(spark, tmp_path, monkeypatch
     export = watermark.WatermarkExport(spark, f"file://{tmp_path}/x")
     with pytest.raises(LookupError):
         export.read()
-    assert export.watermark() is None and export.run(source, ["a", "b"], 10) == 1
+    assert export.watermark() is None and export.export(source, ["a", "b"], 10) == 1
     monkeypatch.setattr(Manifests, "commit", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
     with pytest.raises(RuntimeError):  # output was written, but not committed
-        export.run(source, ["a", "b"], 20)
+        export.export(source, ["a", "b"], 20)
     monkeypatch.undo()
     assert export.watermark() == 10
-    assert export.run(source, ["a", "b"], 30) == 2 and export.run(source, ["a", "b"], 30) is None and export.run(source, ["a", "b"], 25) is None
+    assert export.export(source, ["a", "b"], 30) == 2 and export.export(source, ["a", "b"], 30) is None and export.export(source, ["a", "b"], 25) is None
     inside = lambda lo, hi: {i for i, a, b in rows if any(x is not None and lo <= x < hi for x in (a, b))}
     assert {r["id"] for r in export.read(1).collect()} == inside(-1, 10)
     assert {r["id"] for r in export.read(2).collect()} == inside(10, 30) and export.read(2).count() == len(inside(10, 30))
@@ -129,3 +129,33 @@ def test_replay_of_a_log(spark, seed):
     got = [tuple(v) for v in watermark.replay(r, x).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert watermark.replay(r.limit(0), x).count() == 0 and watermark.replay(r, x.limit(0)).count() == 0
+
+
+def test_runs_of_a_log_one_commit_after_the_other(spark, tmp_path, monkeypatch):
+    """Tables with different bounds, a driver that dies between writing and committing, and requests that come again."""
+    from pyspark.sql import functions as F
+
+    runs = [(1, "a", 10, 1, True), (2, "b", 50, 2, True), (3, "a", 30, 3, False), (4, "a", 20, 4, True), (5, "b", 60, 5, True), (6, "a", 70, 6, True), (7, "c", 5, 7, True)]
+    records = [(i, e, t, t + 7 if t % 3 else None) for i, (e, t) in enumerate((e, t) for e in ("a", "b", "c", None) for t in range(0, 80, 3))]
+    x = spark.createDataFrame(records, "rec long, entity string, a long, b long").select("rec", "entity", F.array("a", "b").alias("instants"))
+    part = lambda lo, hi: spark.createDataFrame([r for r in runs if lo <= r[3] <= hi], "run long, entity string, bound long, start long, success boolean")
+    want, low = set(), {}
+    for run, e, bound, _, ok in runs:
+        if ok:
+            want |= {(run, i) for i, en, *ts in records if en == e and any(t is not None and low.get(e, -1) <= t < bound for t in ts)}
+            low[e] = bound
+    export = watermark.WatermarkExport(spark, f"file://{tmp_path}/x")
+    assert export.run(x, part(1, 3)) == 1 and (export.watermark("a"), export.watermark("b"), export.watermark("c")) == (10, 50, None)
+    monkeypatch.setattr(Manifests, "commit", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        export.run(x, part(4, 5))
+    monkeypatch.undo()
+    assert export.watermark("a") == 10
+    export = watermark.WatermarkExport(spark, f"file://{tmp_path}/x")  # the successor
+    assert export.run(x, part(4, 5)) == 2 and export.run(x, part(1, 5)) is None and export.run(x, part(6, 7)) == 3
+    got = [tuple(r) for r in export.read().select("run", "rec").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {r["entity"]: r["bound"] for r in export.watermarks().collect()} == low
+    with pytest.raises(ValueError, match="go back"):
+        export.commit(export.read(), spark.createDataFrame([("b", 5)], watermark.MARKS))
+    assert export.run(x, part(3, 3)) is None and export.manifests.versions() == [1, 2, 3]
