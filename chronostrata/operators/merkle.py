@@ -1,13 +1,14 @@
 """History of changing attributes from full snapshots (problem 2).
 
-Method: Merkle comparison. Each snapshot of an entity is a tree: its records fall into leaf buckets by the hash of
-their key, a leaf's hash covers its records, an inner node's hash covers its children. Consecutive snapshots are
-compared from the root down; only where the hashes differ is a branch descended, and only the records of leaf
-buckets that differ are compared. Their changes are appended to the history as new versions.
+Method: Merkle comparison. Each snapshot of an entity is a tree of hashes: its records fall into leaf buckets by the
+hash of their key, a leaf's hash covers its records, an inner node's hash covers its children. Consecutive snapshots
+are compared from the root down; only below nodes whose hashes differ are the children looked at. Then the records of
+leaf buckets that differ, and no others, are compared by key, and their changes become new versions.
 
-Scale: one shuffle, by (entity, branch) (see ``snapshots.placed``). A branch of a divided entity is a subtree of its
-own, so the widest tree node in memory is one snapshot's share of a branch. Hashes are XORs of 64-bit hashes taken
-twice under different seeds, so the order of rows doesn't matter.
+Scale: records lie by (entity, branch) (see ``snapshots``); a branch of a divided entity is a tree of its own. The
+trees hold hashes alone, and a tree is as deep as its largest snapshot asks for, so a leaf stands for about
+``LEAF_ROWS`` records of a snapshot whatever its size. No step gathers records in one row; no step shuffles them. Hashes
+are XORs of 64-bit hashes taken twice under different seeds, so the order of rows doesn't matter.
 
 Defined results: an empty table gives an empty history; a key that is missing from a snapshot ends its version there;
 a key that comes back opens a new version; snapshots that change nothing extend the open versions.
@@ -15,63 +16,78 @@ a key that comes back opens a new version; snapshots that change nothing extend
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronostrata.operators.snapshots import FANOUT, Snapshots
+from chronostrata.session import beside, cut
+
 PLACE = ["entity", "branch"]
 
 
-def _both(*cols: str) -> Column:
-    return F.struct(F.bit_xor(F.xxhash64(*cols)).alias("a"), F.bit_xor(F.xxhash64(F.lit(11), *cols)).alias("b"))
-
-
-def trees(records: DataFrame, fanouts: tuple[int, ...] = (16,)) -> DataFrame:
-    """(entity, branch, at, hash, kids): the tree of every snapshot's branch. ``kids`` maps a child's number to (hash, kids),
-    at the last level to (hash, items) with the leaf bucket's records."""
-    path, spread = [], F.xxhash64(F.lit(3), "key")
-    for level, fan in enumerate(fanouts):
-        records = records.withColumn(f"p{level}", F.pmod(spread, F.lit(fan)).cast("int"))
-        spread = F.shiftright(spread, 8)
-        path.append(f"p{level}")
-    here = records.groupBy(*PLACE, "at", *path).agg(
-        _both("key", "h1", "h2").alias("hash"),
-        F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "h1", "h2"))).alias("inside"),
-    )
-    for level in reversed(range(len(fanouts))):
-        child = f"p{level}"
-        here = here.withColumns({"ha": F.col("hash.a"), "hb": F.col("hash.b")})
-        here = here.groupBy(*PLACE, "at", *path[:level]).agg(
-            _both(child, "ha", "hb").alias("hash"),
-            F.map_from_entries(F.collect_list(F.struct(F.col(child), F.struct("hash", "inside")))).alias("inside"),
-        )
-    return here
-
-
-def changed_leaves(tree: DataFrame, depth: int) -> DataFrame:
-    """(entity, branch, at, now, was): the records of each leaf bucket that differs from the snapshot before."""
-    w = Window.partitionBy(*PLACE).orderBy("at")
-    at = tree.withColumns({"was_hash": F.lag("hash").over(w), "was": F.lag("inside").over(w)})
-    at = at.where(~F.col("hash").eqNullSafe(F.col("was_hash"))).select(*PLACE, "at", F.col("inside").alias("now"), "was")
-    for _ in range(depth):
-        child = F.explode(F.array_union(*[F.coalesce(F.map_keys(c), F.array().cast("array<int>")) for c in ("now", "was")]))
-        at = at.withColumn("k", child).withColumns({"now": F.try_element_at("now", F.col("k")), "was": F.try_element_at("was", F.col("k"))})
-        at = at.where(~F.col("now.hash").eqNullSafe(F.col("was.hash"))).select(*PLACE, "at", F.col("now.inside").alias("now"), F.col("was.inside").alias("was"))
-    return at
-
-
-def changes(records: DataFrame, fanouts: tuple[int, ...] = (16,)) -> DataFrame:
+def _hash(*cols: str) -> Column:
+    """Over a node's contents, in any order."""
+    return F.struct(F.bit_xor(F.xxhash64(*cols)).alias("a"), F.bit_xor(F.xxhash64(F.lit(11), *cols)).alias("b"), F.count(F.lit(1)).alias("n"))
+
+
+def _path(depth: int) -> list[str]:
+    return [f"p{level}" for level in range(depth)]
+
+
+def dated(snapshots: Snapshots) -> DataFrame:
+    """The records with the snapshot after theirs, and the path to their leaf bucket (0 below their own tree's depth)."""
+    rows = snapshots.dated("next depth")
+    spread = F.xxhash64(F.lit(3), "key")
+    digit = lambda level: F.pmod(F.shiftright(spread, 8 * level), F.lit(FANOUT)).cast("int")
+    return rows.withColumns({p: F.when(F.col("depth") > level, digit(level)).otherwise(0) for level, p in enumerate(_path(snapshots.depth))}).drop("depth")
+
+
+def trees(records: DataFrame, depth: int) -> list[DataFrame]:
+    """The nodes (entity, branch, at, next, path, hash) of every level, the root first. Leaf hashes are materialised, as
+    each of the levels is made of them."""
+    key = [*PLACE, "at", "next"]
+    levels = [cut(records.groupBy(*key, *_path(depth)).agg(_hash("key", "h1", "h2").alias("hash")))]
+    for level in range(depth - 1, -1, -1):
+        below = levels[0].withColumns({f"h{x}": F.col(f"hash.{x}") for x in "abn"})
+        levels.insert(0, below.groupBy(*key, *_path(level)).agg(_hash(f"p{level}", "ha", "hb", "hn").alias("hash")))
+    return levels
+
+
+def differing(levels: list[DataFrame]) -> DataFrame:
+    """(entity, branch, at, path): the leaf buckets that differ from the snapshot before, found from the root down."""
+    found = None
+    for level, nodes in enumerate(levels):
+        path = _path(level)
+        none = F.lit(None).cast(nodes.schema["hash"].dataType)
+        sides = F.array_compact(F.array(
+            F.struct(F.col("at").alias("at"), F.col("hash").alias("now"), none.alias("was")),
+            F.when(F.col("next").isNotNull(), F.struct(F.col("next").alias("at"), none.alias("now"), F.col("hash").alias("was"))),
+        ))
+        both = nodes.select(*PLACE, *path, F.inline(sides))
+        if found is not None:  # children of nodes that are equal aren't looked at
+            both = both.join(found, [*PLACE, "at", *path[:-1]], "left_semi")
+        both = both.groupBy(*PLACE, "at", *path).agg(F.max("now").alias("now"), F.max("was").alias("was"))
+        found = both.where(~F.col("now").eqNullSafe(F.col("was"))).select(*PLACE, "at", *path)
+    return found
+
+
+def changes(snapshots: Snapshots) -> DataFrame:
     """(entity, branch, at, key, h1, h2, was1, was2): each record that differs from the snapshot before; h1 is null where
     it is gone, was1 where it is new."""
-    leaves = changed_leaves(trees(records, fanouts), len(fanouts))
-    side = lambda c, now: F.transform(F.coalesce(F.col(c), F.array()), lambda x: F.struct(x["key"].alias("key"), x["h1"].alias("h1"), x["h2"].alias("h2"), F.lit(now).alias("now")))
-    typed = leaves.withColumn("was", F.coalesce("was", F.slice("now", 1, 0))).withColumn("now", F.coalesce("now", F.slice("was", 1, 0)))
-    rows = typed.select(*PLACE, "at", F.inline(F.concat(side("now", True), side("was", False))))
-    pair = rows.groupBy(*PLACE, "key", "at").agg(*[F.max(F.when(F.col("now") == now, F.col(h))).alias(name) for now, h, name in ((True, "h1", "h1"), (True, "h2", "h2"), (False, "h1", "was1"), (False, "h2", "was2"))])
-    return pair.where(~(F.col("h1").eqNullSafe(F.col("was1")) & F.col("h2").eqNullSafe(F.col("was2"))))
+    records, path = dated(snapshots.stored()), _path(snapshots.depth)
+    leaves = cut(differing(trees(records, snapshots.depth)))
+    leaves = beside(leaves, leaves.count())
+    inside = lambda rows, *names: rows.join(leaves, [*PLACE, "at", *path], "left_semi").select(*PLACE, "at", "key", *[F.col(h).alias(n) for h, n in zip(("h1", "h2"), names, strict=True)])
+    now = inside(records.drop("next"), "h1", "h2")
+    was = inside(records.where("next IS NOT NULL").withColumn("at", F.col("next")).drop("next"), "was1", "was2")
+    both = now.join(was, [*PLACE, "at", "key"], "full")
+    return both.where(~reduce(lambda p, q: p & q, [F.col(a).eqNullSafe(F.col(b)) for a, b in (("h1", "was1"), ("h2", "was2"))]))
 
 
-def history(records: DataFrame, fanouts: tuple[int, ...] = (16,)) -> DataFrame:
+def history(snapshots: Snapshots) -> DataFrame:
     """(entity, key, h1, h2, from_us, until_us): the versions; until_us is null for those that still hold."""
     w = Window.partitionBy(*PLACE, "key").orderBy("at")
-    found = changes(records, fanouts).withColumn("until_us", F.lead("at").over(w))
+    found = changes(snapshots).withColumn("until_us", F.lead("at").over(w))
     return found.where("h1 IS NOT NULL").select("entity", "key", "h1", "h2", F.col("at").alias("from_us"), "until_us")

@@ -3,20 +3,21 @@
 Method: EXCEPT ALL both ways leaves only rows without an identical partner; a full join of the two residues by key
 labels them added, removed or changed.
 
-``between`` does so for two given snapshots. ``consecutive`` does it for every pair of neighbouring snapshots of every
-entity at once: a row counts +1 in its own snapshot and -1 in the next one, and the signed count over identical rows
-is both EXCEPT ALLs in one pass (a positive rest is the one residue, a negative rest the other). The residues lie in
-the same partitions, so the full join by key is a grouping there: no shuffle beyond the one that placed the rows.
+``between`` does so for two given snapshots, ``consecutive`` for every pair of neighbouring snapshots of every entity
+at once: the records stand once at their own snapshot's instant and once at the next one's, and the two tables are
+subtracted from each other both ways. All of it groups and joins by at least (entity, branch), where the records lie
+already, so neither EXCEPT ALL nor the full join shuffles.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronostrata.operators.merkle import PLACE
+from chronostrata.operators.snapshots import Snapshots
 from chronostrata.session import fresh_name
 
 
@@ -41,16 +42,13 @@ def between(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
     return labelled
 
 
-def consecutive(records: DataFrame) -> DataFrame:
-    """(entity, key, at, kind) between every two consecutive snapshots of an entity, at being the later one's instant; of
-    records as ``snapshots.delivered`` gives them. The first snapshot of an entity gives nothing."""
-    rows = records.groupBy(*PLACE, "at").agg(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "h1", "h2"))).alias("items"))
-    w = Window.partitionBy(*PLACE).orderBy("at")
-    rows = rows.withColumns({"next": F.lead("at").over(w), "first": F.lag("at").over(w).isNull()})
-    signed = rows.select(*PLACE, F.inline(F.array_compact(F.array(
-        F.when(~F.col("first"), F.struct(F.col("at").alias("at"), F.lit(1).alias("sign"), F.col("items"))),
-        F.when(F.col("next").isNotNull(), F.struct(F.col("next").alias("at"), F.lit(-1).alias("sign"), F.col("items"))),
-    )))).select(*PLACE, "at", "sign", F.inline("items"))
-    residue = signed.groupBy(*PLACE, "key", "at", "h1", "h2").agg(F.sum("sign").alias("rest")).where("rest <> 0")
-    joined = residue.groupBy(*PLACE, "key", "at").agg(F.max(F.col("rest") > 0).alias("new"), F.max(F.col("rest") < 0).alias("gone"))
-    return joined.select("entity", "key", "at", F.when(~F.col("gone"), "added").when(~F.col("new"), "removed").otherwise("changed").alias("kind"))
+def consecutive(snapshots: Snapshots) -> DataFrame:
+    """(entity, key, at, kind) between every two consecutive snapshots of an entity, at being the later one's instant. The
+    first snapshot of an entity gives nothing."""
+    rows = snapshots.dated("was next")
+    after = rows.where("was IS NOT NULL").select(*PLACE, "at", "key", "h1", "h2")
+    before = rows.where("next IS NOT NULL").select(*PLACE, F.col("next").alias("at"), "key", "h1", "h2")
+    new = after.exceptAll(before).select(*PLACE, "at", "key", F.lit(True).alias("new"))
+    gone = before.exceptAll(after).select(*PLACE, "at", "key", F.lit(True).alias("gone"))
+    kind = F.when(F.col("gone").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("changed")
+    return new.join(gone, [*PLACE, "at", "key"], "full").select("entity", "key", "at", kind.alias("kind"))

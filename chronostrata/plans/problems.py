@@ -23,7 +23,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return found
 
 
-def _records(spark: SparkSession, d: str) -> DataFrame:
+def _records(spark: SparkSession, d: str) -> snapshots.Snapshots:
     return snapshots.delivered(load(spark, d, "update_snapshot"), load(spark, d, "writers"), "db_table", "name", "from_ts", "received_at", "row_id", PAYLOAD)
 
 
@@ -76,17 +76,17 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 # The same operators over tables whose instants need no reading, so that SQL can give the same answer.
 
 
-def _steps(spark: SparkSession, d: str) -> DataFrame:
-    """Three snapshots of customer as ``snapshots.delivered`` would give them; their instants are 1, 2 and 3."""
+def _steps(spark: SparkSession, d: str) -> snapshots.Snapshots:
+    """Three snapshots of customer, all of one entity; their instants are 1, 2 and 3."""
     c = load(spark, d, "customer").select(F.lit("customer").alias("entity"), F.col("c_custkey").cast("string").alias("key"), "c_nationkey", "c_acctbal", F.col("c_mktsegment").alias("m"), F.explode(F.expr("array(1L, 2L, 3L)")).alias("at"))
     c = c.where("(at = 1 AND c_nationkey < 20) OR (at = 2 AND c_nationkey < 23) OR (at = 3 AND c_nationkey >= 2)")
     c = c.withColumn("m", F.expr("CASE WHEN (at = 2 AND c_acctbal < 1500) OR (at = 3 AND c_acctbal < 700) THEN 'CHANGED' WHEN c_acctbal > 9000 THEN NULL ELSE m END"))
-    c = c.withColumn("branch", F.pmod(F.xxhash64("key"), F.lit(4)).cast("int"))
-    return c.select("entity", "branch", "at", "key", *snapshots.payload_hashes(["m"])).repartition(shuffle_width(spark), "entity", "branch")
+    c = c.select("entity", "at", "key", *snapshots.payload_hashes(["m"]))
+    return snapshots.arranged(c, c.groupBy("entity", "at").agg(F.count(F.lit(1)).alias("n")))
 
 
 def merkle_customers(spark: SparkSession, d: str) -> DataFrame:
-    return merkle.history(_steps(spark, d), (4, 4)).select("key", F.col("from_us").alias("from_step"), F.coalesce(F.col("until_us"), F.lit(0)).alias("until_step"))
+    return merkle.history(_steps(spark, d)).select("key", F.col("from_us").alias("from_step"), F.coalesce(F.col("until_us"), F.lit(0)).alias("until_step"))
 
 
 def changes_customers(spark: SparkSession, d: str) -> DataFrame:

@@ -54,6 +54,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def placed(df: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Written in the shared folder in ``width`` buckets by the keys, and read again: columnar, and known to Spark as lying
+    together by the keys, so that groupings and joins by them (and more) don't shuffle. The catalog's entry, which only
+    serves to tell Spark of the buckets, goes at once; the files stay like those of ``cut``."""
+    spark, name = df.sparkSession, f"placed_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", scratch(spark, "placed")).bucketBy(width, *keys).saveAsTable(name)
+    try:
+        return spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
 _shipped: set[str] = set()
 
 
@@ -77,6 +89,16 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+#: Rows of a narrow table (a few ids) up to which ``beside`` broadcasts it.
+NARROW_ROWS = 100_000
+
+
+def beside(small: DataFrame, rows: int) -> DataFrame:
+    """A narrow table of a known number of rows, as the right side of a join whose left side is large and lies in place: sent
+    to all tasks if it is small, else merged. Spark alone might send the left side around instead, and lose its place."""
+    return F.broadcast(small) if rows <= NARROW_ROWS else small.hint("merge")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -54,19 +54,22 @@ def days(us):
     return None if us is None else (us // 86_400_000_000) - 18_628
 
 
-def compare(spark, rows, fanouts):
+def compare(spark, rows):
     want_versions, want_diffs = brute(rows)
     r = records(spark, rows)
-    got = [(x["entity"], x["key"], days(x["from_us"]), days(x["until_us"])) for x in merkle.history(r, fanouts).collect()]
+    got = [(x["entity"], x["key"], days(x["from_us"]), days(x["until_us"])) for x in merkle.history(r).collect()]
     assert len(got) == len(set(got)) and set(got) == want_versions
     found = [(x["entity"], x["key"], days(x["at"]), x["kind"]) for x in snapdiff.consecutive(r).collect()]
     assert len(found) == len(set(found)) and set(found) == want_diffs
 
 
-@pytest.mark.parametrize("seed,fanouts,share", [(1, (16,), None), (2, (2, 3), None), (3, (4,), 1)])
-def test_random_snapshots(spark, monkeypatch, seed, fanouts, share):
-    if share:  # every entity is divided
-        monkeypatch.setattr(snapshots, "divided", lambda df, entity, width: spark.createDataFrame([(f"e{i}", 3) for i in range(3)], "entity string, branches int"))
+@pytest.mark.parametrize("seed,leaf,unit", [(1, 64, 10**6), (2, 1, 10**6), (3, 1, 30)])
+def test_random_snapshots(spark, monkeypatch, seed, leaf, unit):
+    """Trees of the root alone, deep trees, and every entity divided."""
+    monkeypatch.setattr(snapshots, "LEAF_ROWS", leaf)
+    monkeypatch.setattr(snapshots, "BRANCH_ROWS", unit)
+    monkeypatch.setattr(merkle, "FANOUT", 2)
+    monkeypatch.setattr(snapshots, "FANOUT", 2)
     rng = random.Random(seed)
     rows = []
     for d in range(12):
@@ -78,21 +81,55 @@ def test_random_snapshots(spark, monkeypatch, seed, fanouts, share):
                     value = lambda: rng.choice([1.0, 2.0, None, None])
                     rows += [(e, rng.choice([f"k{k}"] * 9 + [None]), value() if rng.random() < 0.2 else 1.0, value() if rng.random() < 0.2 else None, rng.choice([d] * 12 + [None, "", "pending"]), rng.choice([0, 1, 2, None]))] * rng.choice([1, 1, 1, 2])
     rng.shuffle(rows)
-    compare(spark, rows, fanouts)
+    compare(spark, rows)
 
 
 def test_a_hot_entity_is_divided(spark):
     rows = [("hot", f"k{i % 50}", float(i // 400), None, i // 50, 0) for i in range(1000)] + [(f"e{i}", "k", 1.0, None, i % 3, 0) for i in range(200)]
-    heavy = snapshots.divided(made(spark, rows).withColumnRenamed("entity_name", "entity"), "entity", 4)
+    sizes = spark.createDataFrame([(e, e, 1) for e, *_ in rows], "entity string, at string, n long")
+    heavy = snapshots.divided(sizes, 4, len(rows))
     assert [r["entity"] for r in heavy.collect()] == ["hot"] and heavy.first()["branches"] > 4
-    compare(spark, rows, (16,))
+    compare(spark, rows)
+
+
+def test_two_large_snapshots_of_one_entity(spark):
+    """Thousands of keys in each of two snapshots: deep trees, many branches, and no row that holds more than one record."""
+    base = [("one", f"k{i}", float(i % 7), None, 0, 0) for i in range(4000)]
+    rows = base + [("one", f"k{i}", float(i % 7 if i % 400 else -1), None, 5, 0) for i in range(100, 4100)]
+    r = records(spark, rows)
+    assert r.depth >= 1 and r.calendar.count() > 8
+    want_versions, want_diffs = brute(rows)
+    assert {(x["entity"], x["key"], days(x["from_us"]), days(x["until_us"])) for x in merkle.history(r).collect()} == want_versions
+    assert {(x["entity"], x["key"], days(x["at"]), x["kind"]) for x in snapdiff.consecutive(r).collect()} == want_diffs
+
+
+def test_only_differing_leaves_are_compared(spark):
+    rows = [("e", f"k{i}", 1.0 if (i, d) != (7, 2) else 2.0, None, d, 0) for i in range(600) for d in range(4)]
+    r = records(spark, rows)
+    leaves = merkle.differing(merkle.trees(merkle.dated(r), r.depth))
+    by_day = {}
+    for x in leaves.collect():
+        by_day[days(x["at"])] = by_day.get(days(x["at"]), 0) + 1
+    assert by_day.pop(0) > 10 and by_day == {2: 1, 3: 1}  # all of the first snapshot, then the one leaf that changed and changed back
+
+
+def test_plans_keep_records_where_they_lie(spark):
+    rows = [("hot", f"k{i % 50}", float(i // 400), None, i // 50, 0) for i in range(1000)]
+    r = records(spark, rows)
+    for found in (merkle.history(r), snapdiff.consecutive(r)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list" not in plan and "FullOuter" in plan
+        moved = [x.split("hashpartitioning(")[1].split(", 4)")[0] for x in plan.splitlines() if "+- Exchange hashpartitioning(entity" in x and "REPARTITION" not in x]
+        shapes = {tuple(c.split("#")[0] for c in m.split(", ")) for m in moved}
+        assert shapes <= {("entity", "branch", "at", "key"), ("entity", "branch", "key")}, shapes  # to be reduced; and the changes alone, by their keys
+    assert plan.count("Generate replicaterows") == 2  # both EXCEPT ALLs
 
 
 def test_empty_and_single(spark):
     assert merkle.history(records(spark, [])).count() == 0
     assert snapdiff.consecutive(records(spark, [])).count() == 0
-    compare(spark, [("e", "k", 1.0, None, 0, 0)], (16,))
-    compare(spark, [("e", "k", 1.0, None, 0, 0), ("e", "j", None, 1.0, 5, 0)], (16,))  # null payloads don't trade places
+    compare(spark, [("e", "k", 1.0, None, 0, 0)])
+    compare(spark, [("e", "k", 1.0, None, 0, 0), ("e", "j", None, 1.0, 5, 0)])  # null payloads don't trade places
 
 
 def test_null_payloads_are_told_apart(spark):
