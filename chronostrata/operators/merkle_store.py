@@ -6,8 +6,9 @@ descended, and only the leaf buckets found so are read, compared by record, and
 the closed versions. A snapshot that changes a few buckets costs one hashing pass and those buckets, whatever the size
 of the history.
 
-The number of leaves is a parameter (``fanout ** depth``) and doesn't grow with the data, so the hashes that the
-driver compares are a bounded table.
+The number of leaves follows the table: when they would hold more than ``leaf_rows`` records the trees become a level
+deeper, and a leaf is split when it next differs (see ``buckets``). Hashes are XORs over a node's records, so the hash of
+a node is known from its leaves at any depth. The driver compares one hash for each leaf, never one for each record.
 
 Defined results: of repeated keys in a snapshot the greatest payload counts; rows with a null in the key don't count;
 an empty snapshot ends every version; a snapshot equal to the last one changes nothing; earlier snapshots than the
@@ -16,50 +17,60 @@ last are refused (``engine.update_snapshot`` takes them).
 
 from __future__ import annotations
 
-import hashlib
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronostrata.functions.timestamps import Timestamp, db_timestamp, to_ts
+from chronostrata.operators.buckets import covering, grown, residue, split, spread
 from chronostrata.operators.snapshots import payload_hashes
 from chronostrata.session import cut, fresh_name
 from chronostrata.sources.manifest import Manifests
 
 
+Hash = tuple[int, int, int]
+NOTHING: Hash = (0, 0, 0)
+
+
 class HashTree:
-    """Hashes of ``fanout ** depth`` leaves and of the nodes above them; leaves without records have the hash ''."""
-
-    def __init__(self, leaves: dict[int, str], fanout: int, depth: int):
-        self.fanout, self.depth = fanout, depth
-        self.levels = [leaves]
-        for _ in range(depth):
-            below: dict[int, list[tuple[int, str]]] = {}
-            for k, h in sorted(self.levels[-1].items()):
-                below.setdefault(k // fanout, []).append((k % fanout, h))
-            self.levels.append({k: hashlib.md5(repr(v).encode()).hexdigest() for k, v in below.items()})
-
-    def differing(self, other: HashTree) -> tuple[list[int], int]:
-        """The leaves that differ, and how many nodes were looked at to find them."""
-        at, seen = [0], 0
-        for level in range(self.depth, -1, -1):
-            seen += len(at)
-            at = [k for k in at if self.levels[level].get(k, "") != other.levels[level].get(k, "")]
-            if level:
-                at = [k * self.fanout + c for k in at for c in range(self.fanout)]
-        return at, seen
+    """Nodes (m, r) are the records whose hash leaves r when divided by m, a power of ``fanout``; a node's hash is the XOR of
+    two hashes of each record, and their number. ``leaves`` may lie at different depths."""
+
+    def __init__(self, leaves: dict[tuple[int, int], Hash], fanout: int):
+        self.fanout, self.leaves, self.nodes = fanout, leaves, {}
+        for (m, r), (a, b, n) in leaves.items():
+            while m >= 1:
+                x, y, k = self.nodes.get((m, r % m), NOTHING)
+                self.nodes[m, r % m] = (x ^ a, y ^ b, k + n)
+                m //= fanout
+
+    def differing(self, old: HashTree, modulus: int) -> tuple[list[int], int]:
+        """The residues of ``modulus``, this tree's depth, below which the trees differ, and how many nodes were looked at to
+        find them. A leaf of the old tree is found as a whole, even where this tree is deeper."""
+        found, seen, todo = [], 0, [(1, 0)]
+        while todo:
+            m, r = todo.pop()
+            seen += 1
+            if self.nodes.get((m, r), NOTHING) == old.nodes.get((m, r), NOTHING):
+                continue
+            if m == modulus or (m, r) in old.leaves:
+                found += range(r, modulus, m)
+            else:
+                todo += [(m * self.fanout, r + k * m) for k in range(self.fanout)]
+        return sorted(found), seen
 
 
 class MerkleHistory:
-    """The history at ``root`` of snapshots with the columns of ``schema``, recognised by ``key``."""
+    """The history at ``root`` of snapshots with the columns of ``schema``, recognised by ``key``. The trees begin with
+    ``fanout ** depth`` leaves."""
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: list[str], fanout: int = 16, depth: int = 2):
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: list[str], fanout: int = 16, depth: int = 1, leaf_rows: int = 1_000_000):
         self.spark, self.root, self.schema, self.key = spark, root, schema, key
-        self.manifests = Manifests(spark, root)
+        self.manifests, self.leaf_rows = Manifests(spark, root), leaf_rows
         known = self.manifests.read()
-        self.fanout, self.depth = (known["fanout"], known["depth"]) if known else (fanout, depth)
+        self.fanout, self.first = known["fanout"] if known else fanout, fanout**depth
         self.columns = [f.name for f in schema.fields]
         self.payload = [c for c in self.columns if c not in key]
         self.leaf, self.since, self.until = (fresh_name(n, self.columns) for n in ("leaf", "from_ts", "until_ts"))
@@ -67,11 +78,11 @@ class MerkleHistory:
         self.held_schema = T.StructType([*schema.fields, stamp])
         self.closed_schema = T.StructType([*schema.fields, stamp, T.StructField(self.until, T.TimestampNTZType())])
 
-    def _leaf(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(self.leaf, F.pmod(F.xxhash64(*self.key), F.lit(self.fanout**self.depth)).cast("int"))
+    def _hash(self) -> Column:
+        return F.xxhash64(*[F.col(f"`{k}`") for k in self.key])
 
-    def _files(self, manifest: dict | None, only: set[int] | None = None) -> list[str]:
-        return [f"{self.root}/data/v{v}/held/{self.leaf}={k}" for k, v in (manifest or {"held": {}})["held"].items() if only is None or int(k) in only]
+    def _files(self, manifest: dict | None, only: set[str] | None = None) -> list[str]:
+        return [f"{self.root}/data/v{v}/held/{self.leaf}={split(k)[1]}" for k, v in (manifest or {"held": {}})["held"].items() if only is None or k in only]
 
     def _load(self, paths: list[str], schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
@@ -83,7 +94,13 @@ class MerkleHistory:
             rows = rows.groupBy(*[F.col(f"`{k}`").alias(k) for k in self.key]).agg(best).select(*self.key, *[F.col(f"_best.p{i}").alias(c) for i, c in enumerate(self.payload)])
         else:
             rows = rows.distinct()
-        return self._leaf(rows)
+        return rows
+
+    def _leaves(self, rows: DataFrame, modulus: int) -> dict[tuple[int, int], Hash]:
+        """One row for each leaf."""
+        a, b = (fresh_name(n, [*self.columns, self.leaf]) for n in ("h1", "h2"))
+        hashed = rows.select(residue(self._hash(), modulus).alias(self.leaf), *[h.alias(n) for h, n in zip(payload_hashes([*self.key, *self.payload]), (a, b), strict=True)])
+        return {(modulus, r[0]): (r[1], r[2], r[3]) for r in hashed.groupBy(self.leaf).agg(F.bit_xor(a), F.bit_xor(b), F.count(F.lit(1))).collect()}
 
     def apply(self, snapshot: DataFrame, timestamp: Timestamp) -> dict[str, int]:
         """Appends what changed and commits; the numbers of nodes looked at and of leaves replaced."""
@@ -92,31 +109,37 @@ class MerkleHistory:
         if manifest and t <= to_ts(manifest["last"]):
             raise ValueError(f"the snapshot of {t} isn't later than the last one, of {manifest['last']}")
         rows = self._reduced(snapshot)
-        names = [fresh_name(n, [*self.columns, self.leaf]) for n in ("h1", "h2")]
-        hashed = rows.select(self.leaf, *[h.alias(n) for h, n in zip(payload_hashes([*self.key, *self.payload]), names, strict=True)])
-        leaves = {r[0]: f"{r[1]:x},{r[2]:x},{r[3]}" for r in hashed.groupBy(self.leaf).agg(F.bit_xor(names[0]), F.bit_xor(names[1]), F.count(F.lit(1))).collect()}
-        tree = HashTree(leaves, self.fanout, self.depth)
-        before = HashTree({int(k): h for k, h in (manifest["leaves"] if manifest else {}).items()}, self.fanout, self.depth)
-        touched, seen = tree.differing(before)
+        before = HashTree({split(k): tuple(h) for k, h in (manifest["leaves"] if manifest else {}).items()}, self.fanout)
+        modulus = manifest["modulus"] if manifest else self.first
+        leaves = self._leaves(rows, modulus)
+        if (more := grown(modulus, self.fanout, sum(n for *_, n in leaves.values()), self.leaf_rows)) != modulus:
+            modulus, leaves = more, self._leaves(rows, more)
+        touched, seen = HashTree(leaves, self.fanout).differing(before, modulus)
         version = (manifest["version"] if manifest else 0) + 1
-        held, closed = dict(manifest["held"]) if manifest else {}, list(manifest["closed"]) if manifest else []
+        held, hashes, closed = (dict(manifest["held"]), dict(manifest["leaves"]), list(manifest["closed"])) if manifest else ({}, {}, [])
         if touched:
-            self._replace(rows.where(F.col(self.leaf).isin(touched)), self._files(manifest, set(touched)), t, version)
-            held = {k: v for k, v in held.items() if int(k) not in touched} | {str(k): version for k in touched if k in leaves}
+            old, _ = covering(hashes, set(touched), modulus)
+            there = residue(self._hash(), modulus)
+            number = sum(leaves[modulus, k][2] for k in touched if (modulus, k) in leaves) + sum(hashes[k][2] for k in old)
+            self._replace(rows.where(there.isin(touched)), self._files(manifest, old), t, version, modulus, len(touched), number)
+            new = {f"{modulus}:{k}": leaves[modulus, k] for k in touched if (modulus, k) in leaves}
+            held = {k: v for k, v in held.items() if k not in old} | dict.fromkeys(new, version)
+            hashes = {k: h for k, h in hashes.items() if k not in old} | {k: list(h) for k, h in new.items()}
             closed.append(version)
-        self.manifests.commit(version, {"fanout": self.fanout, "depth": self.depth, "last": str(t), "leaves": {str(k): h for k, h in leaves.items()}, "held": held, "closed": closed})
+        self.manifests.commit(version, {"fanout": self.fanout, "modulus": modulus, "last": str(t), "leaves": hashes, "held": held, "closed": closed})
         return {"nodes": seen, "leaves": len(touched)}
 
-    def _replace(self, rows: DataFrame, files: list[str], t, version: int) -> None:
+    def _replace(self, rows: DataFrame, files: list[str], t, version: int, modulus: int, leaves: int, number: int) -> None:
         old = self._load(files, self.held_schema)
-        pack = lambda df, name: df.select(*[F.col(f"`{k}`").alias(f"{name}{i}") for i, k in enumerate(self.key)], F.struct(*[F.col(f"`{c}`") for c in df.columns if c != self.leaf]).alias(name))
+        pack = lambda df, name: df.select(*[F.col(f"`{k}`").alias(f"{name}{i}") for i, k in enumerate(self.key)], F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
         a, b = pack(old, "o"), pack(rows, "n")
         both = a.join(b, reduce(lambda p, q: p & q, [F.col(f"o{i}") == F.col(f"n{i}") for i in range(len(self.key))]), "full")
         same = reduce(lambda p, q: p & q, [F.col(f"o.`{c}`").eqNullSafe(F.col(f"n.`{c}`")) for c in self.payload], F.col("o").isNotNull() & F.col("n").isNotNull())
         both = cut(both.withColumn("same", same).select("o", "n", "same"))
         stays = both.where("n IS NOT NULL").select(*[F.col(f"n.`{c}`").alias(c) for c in self.columns], F.when(F.col("same"), F.col(f"o.`{self.since}`")).otherwise(db_timestamp(t)).alias(self.since))
         ended = both.where("o IS NOT NULL AND NOT same").select(*[F.col(f"o.`{c}`").alias(c) for c in [*self.columns, self.since]], db_timestamp(t).alias(self.until))
-        self._leaf(stays).repartition(self.leaf).write.mode("overwrite").partitionBy(self.leaf).parquet(f"{self.root}/data/v{version}/held")
+        part, tasks = spread(self._hash(), number, leaves)
+        stays.withColumn(self.leaf, residue(self._hash(), modulus)).repartition(tasks, self.leaf, part).write.mode("overwrite").partitionBy(self.leaf).parquet(f"{self.root}/data/v{version}/held")
         ended.write.mode("overwrite").parquet(f"{self.root}/data/v{version}/closed")
 
     def read(self) -> DataFrame:

@@ -54,10 +54,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
         timed = with_instant(rows, writers, "until_ts", "end_us")
         return timed.select("col1", "col2", micros("from_ts").alias("from_us"), F.col("end_us").isNotNull().alias("ended"))
 
-    table = cow.BucketedTable(spark, scratch(spark, "delta-load"), changes(feed).schema, ["col1"], "from_us", "ended", buckets=4 * shuffle_width(spark))
-    middle = feed.agg(F.expr("(min(delta_no) + max(delta_no)) div 2")).first()[0] or 0
-    for part in (F.col("delta_no") <= middle, F.coalesce(F.col("delta_no") > middle, F.lit(True))):  # two deliveries of the feed
-        table.apply(changes(feed.where(part)))
+    table = cow.BucketedTable(spark, scratch(spark, "delta-load"), changes(feed).schema, ["col1"], "from_us", "ended", buckets=shuffle_width(spark))
+    low, high = feed.agg(F.min("delta_no"), F.max("delta_no")).first()
+    bounds = [] if low is None else [low + (high - low) * k // 4 for k in (2, 3)]  # a large delivery and two smaller ones
+    for lo, hi in zip([None, *bounds], [*bounds, None], strict=True):
+        part = F.lit(True) if lo is None else F.col("delta_no") > lo
+        table.apply(changes(feed.where(F.coalesce(part & (F.lit(True) if hi is None else F.col("delta_no") <= hi), F.lit(hi is None)))))
     payload = F.concat_ws("_", "col1", F.coalesce(F.col("col2").cast("string"), F.lit("")))
     return table.read().select("col1", utc_text("from_us").alias("from_utc"), F.md5(payload).alias("checksum"))
 

@@ -58,6 +58,35 @@ def test_only_touched_buckets_are_replaced(spark, tmp_path):
     assert len(state(t)) == 99
 
 
+def test_buckets_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """Buckets double in number; an old one is split when a change touches it, and several tasks write a large one."""
+    from chronostrata.operators import buckets
+
+    monkeypatch.setattr(buckets, "TASK_ROWS", 10)
+    made = lambda: BucketedTable(spark, f"file://{tmp_path}/t", spark.createDataFrame([], SCHEMA).schema, ["k"], "seq", "gone", 2, bucket_rows=40)
+    rows = [(f"k{i}", 1, False, "x", 1.0) for i in range(60)]
+    t = made()
+    t.apply(spark.createDataFrame(rows, SCHEMA))
+    assert t.buckets == 2
+    more = [(f"k{i}", 1, False, "y", 2.0) for i in range(60, 65)] + [(f"m{i}", 1, False, "y", 2.0) for i in range(200)]
+    t.apply(spark.createDataFrame(more, SCHEMA))
+    assert made().buckets == 8 and state(made()) == brute(rows + more)
+    t.apply(spark.createDataFrame([(f"z{i}", 1, False, "z", 1.0) for i in range(400)], SCHEMA))
+    before = t.manifests.read()
+    t.apply(spark.createDataFrame([("k3", 2, False, "w", None)], SCHEMA))
+    after = t.manifests.read()
+    assert after["modulus"] == before["modulus"] == 32 and len(set(before["at"]) - set(after["at"])) <= 1
+    assert sum(e["v"] == after["version"] for e in after["at"].values()) == 1  # a small delivery, one bucket
+    assert sum(e["rows"] for e in after["at"].values()) == 665
+    old = made()
+    old.bucket_rows = 5  # grows, but only the touched bucket is split
+    old.apply(spark.createDataFrame([("k3", 3, False, "v", None)], SCHEMA))
+    assert len({buckets.split(k)[0] for k in old.manifests.read()["at"]}) == 2 and len(state(old)) == 665
+    first = t.manifests.read(1)
+    files = [f for e in {f"{tmp_path}/t/data/v1/{t.bucket}={buckets.split(k)[1]}" for k in first["at"]} for f in __import__("os").listdir(e) if f.endswith(".parquet")]
+    assert len(files) > 2
+
+
 def test_nothing_to_apply(spark, tmp_path):
     t = table(spark, tmp_path)
     assert t.apply(spark.createDataFrame([], SCHEMA)) is None and t.apply(spark.createDataFrame([(None, 1, False, "", 1.0), ("a", None, False, "", 1.0)], SCHEMA)) is None

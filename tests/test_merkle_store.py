@@ -53,8 +53,23 @@ def test_only_differing_leaves_are_replaced(spark, tmp_path):
 
 
 def test_hash_trees():
-    a, b = HashTree({0: "x", 9: "y"}, 4, 2), HashTree({0: "x", 9: "z", 15: "q"}, 4, 2)
-    assert a.differing(b)[0] == [9, 15] and a.differing(a) == ([], 1) and HashTree({}, 4, 2).differing(a)[0] == [0, 9]
+    a, b = HashTree({(16, 0): (1, 1, 1), (16, 9): (2, 2, 1)}, 4), HashTree({(16, 0): (1, 1, 1), (16, 9): (3, 2, 1), (16, 15): (7, 7, 2)}, 4)
+    assert a.differing(b, 16)[0] == [9, 15] and a.differing(a, 16) == ([], 1) and HashTree({}, 4).differing(a, 16)[0] == [0, 9]
+    shallow = HashTree({(4, 0): (1, 1, 1), (4, 1): (2, 2, 1)}, 4)  # the same records, in fewer leaves
+    assert a.differing(shallow, 16) == ([], 1)
+    assert b.differing(shallow, 16)[0] == [1, 5, 9, 13, 15]  # the old leaf as a whole, and the new one where the old tree has nothing
+
+
+def test_trees_grow_with_the_table(spark, tmp_path):
+    made = lambda: MerkleHistory(spark, f"file://{tmp_path}/g", spark.createDataFrame([], SCHEMA).schema, ["k", "j"], fanout=4, depth=1, leaf_rows=20)
+    rows = lambda n, v: [(f"k{i}", 0, v if i == 5 else "x", 1.0) for i in range(n)]
+    made().apply(spark.createDataFrame(rows(60, "x"), SCHEMA), "2022-01-01")
+    assert made().manifests.read()["modulus"] == 4
+    made().apply(spark.createDataFrame(rows(400, "x"), SCHEMA), "2022-01-02")
+    assert made().manifests.read()["modulus"] == 64
+    assert made().apply(spark.createDataFrame(rows(400, "y"), SCHEMA), "2022-01-03")["leaves"] == 1
+    got = made().read()
+    assert got.count() == 401 and got.where("until_ts IS NULL").count() == 400 and got.where("from_ts_1 = '2022-01-01'").count() == 60
 
 
 def test_nothing_yet(spark, tmp_path):
