@@ -2,9 +2,12 @@
 
 Method: the corpus's own frequent spellings form a trie. Each distinct token is run through it by a weighted edit
 automaton in which look-alikes, width, ligatures and the two ways of writing an accent cost nothing, nor do invisible
-characters; any other edit costs 1 and the budget (``max_cost``) is 0 by default. Of the words reached at no cost the
-most frequent is the canonical spelling. Tokens that reach none are normalised by table. Both ways agree on what is
-equal: a free path exists exactly between texts with the same skeleton, so the vocabulary never joins or parts texts.
+characters; any other edit costs 1 and the budget (``max_cost``) is 0 by default. Of the words reached at no cost
+the most frequent is the canonical spelling. Tokens that reach none are normalised by table. A free path exists exactly
+between texts with the same skeleton, so the automaton chooses how a token is spelled in the result (a word of the
+corpus, in its own script, instead of a bare skeleton) but which texts match follows from the skeleton alone: the table
+would give the same classes. With ``max_cost`` over 0, which no query here uses, the vocabulary decides what is joined:
+the result is exact for the words that are given, and the caller must give all that count.
 
 Defined results: a null text has a null form; a text with nothing visible has the form ''. White space of any kind and
 length is one space, none at the ends. Case, accents, digits, superscripts and other punctuation are kept apart.
@@ -16,6 +19,7 @@ import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
@@ -23,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronostrata.llm.workers import kept
-from chronostrata.session import cut, ship
+from chronostrata.session import cut, ship, shuffle_width
 
 # Letters of other scripts that are drawn like a Latin letter, and hyphens drawn like "-".
 LOOK_ALIKES = (
@@ -40,8 +44,11 @@ DRAWN_LIKE = {pair[0]: pair[1:] for pair in LOOK_ALIKES.split()}
 # Characters without a drawing that the general category doesn't mark as invisible.
 _INVISIBLE = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0000, 0xE1000)}
 
-#: Spellings in the trie at most; tokens beyond it are normalised by table, with the same result.
+#: Spellings that ``vocabulary`` gives at most. Tokens beyond it are normalised by table: they may be spelled otherwise than the corpus mostly
+#: does, but at no cost, as here, the same texts have one form with any vocabulary.
 VOCABULARY = 50_000
+#: At most this many texts are ever hot; and the documents that a part of one should have.
+HOT, HOT_ROWS = 10_000, 1_000_000
 REMEMBERED = 500_000
 
 
@@ -204,18 +211,62 @@ def consistent_form(spark: SparkSession, text: Column, words: list[tuple[str, in
     return form.asNondeterministic()(text).alias("form")
 
 
-def same_looking_pairs(documents: DataFrame, doc_id: str, text: str, max_cost: int = 0) -> DataFrame:
-    """(doc_id_a, doc_id_b), a < b: stored texts that differ and have one form. Exact copies aren't compared with each
-    other: the distinct texts of a form are paired, and each pair of texts is then joined with its documents."""
+@dataclass(frozen=True)
+class Looks:
+    """rows (doc, t, f): every document with the hashes of its text and of its form; texts (f, t, n, least): the distinct
+    texts with the numbers and least ids of their documents; hot: the texts with many documents."""
+
+    rows: DataFrame
+    texts: DataFrame
+    hot: DataFrame
+    salts: int
+
+    def scattered(self, rows: DataFrame, text: str, salt: str) -> DataFrame:
+        """Rows of documents, with a salt that divides those of a hot text."""
+        there = rows.join(F.broadcast(self.hot.select(F.col("t").alias(text), F.lit(True).alias("is_hot"))), text, "left")
+        return there.withColumn(salt, F.when(F.col("is_hot"), F.pmod(F.xxhash64("doc"), F.lit(self.salts))).otherwise(0).cast("int")).drop("is_hot")
+
+    def copied(self, rows: DataFrame, text: str, salt: str) -> DataFrame:
+        """Rows of texts, once for each salt that their documents can have."""
+        there = rows.join(F.broadcast(self.hot.select(F.col("t").alias(text), F.lit(True).alias("is_hot"))), text, "left")
+        return there.withColumn(salt, F.explode(F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(self.salts - 1))).otherwise(F.array(F.lit(0))))).drop("is_hot")
+
+
+def looks(documents: DataFrame, doc_id: str, text: str) -> Looks:
+    """Null texts and ids and texts with nothing visible take no part; repeated rows count once, and the same id with another
+    text as another document. The list of hot texts has at most ``HOT`` rows, as each
+    stands for over 1 / ``HOT`` of all documents."""
     spark = documents.sparkSession
     words = vocabulary(documents, text)
-    rows = documents.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), F.md5(F.col(text)).alias("t"), consistent_form(spark, F.col(text), words, max_cost))
-    rows = cut(rows.where("form <> ''").select("doc", F.unhex("t").alias("t"), F.unhex(F.md5("form")).alias("f")))
-    texts = rows.groupBy("f", "t").count().select("f", "t")
-    several = texts.groupBy("f").count().where("count > 1").select("f")
-    texts = texts.join(several, "f", "left_semi")
+    rows = documents.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), F.md5(F.col(text)).alias("t"), consistent_form(spark, F.col(text), words))
+    rows = cut(rows.where("form <> ''").select("doc", F.unhex("t").alias("t"), F.unhex(F.md5("form")).alias("f")).distinct())
+    texts = cut(rows.groupBy("f", "t").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("least")))
+    width, total = shuffle_width(spark), texts.agg(F.sum("n")).first()[0] or 0
+    hot = texts.where(F.col("n") > max(total / HOT, min(HOT_ROWS, total / (4 * width)))).select("t").collect()
+    return Looks(rows, texts, spark.createDataFrame(hot, rows.select("t").schema), max(width, -(-total // HOT_ROWS) if hot else 1))
+
+
+def same_looking_classes(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row for each document: doc_id, class_id (the least id of those that look the same) and links, the number of
+    documents that look the same but have another text."""
+    found = looks(documents, doc_id, text)
+    forms = found.texts.groupBy("f").agg(F.sum("n").alias("docs"), F.min("least").alias("class_id"))
+    known = found.texts.join(forms, "f").select("t", "class_id", (F.col("docs") - F.col("n")).alias("links"))
+    rows = found.scattered(found.rows.select("doc", "t"), "t", "s").join(found.copied(known, "t", "s"), ["t", "s"])
+    return rows.select(F.col("doc").alias("doc_id"), "class_id", "links")
+
+
+def same_looking_pairs(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id_a, doc_id_b), a < b: stored texts that differ and have one form. Exact copies aren't compared with each
+    other: the distinct texts of a form are paired, and each pair of texts is then joined with its documents, those of a
+    hot text in many parts. ``same_looking_classes`` says the same in one row a document."""
+    found = looks(documents, doc_id, text)
+    several = found.texts.groupBy("f").count().where("count > 1").select("f")
+    texts = found.texts.select("f", "t").join(several, "f", "left_semi")
     pairs = texts.join(texts.select("f", F.col("t").alias("t2")), "f").where("t < t2").select("t", "t2")
-    a = rows.select(F.col("doc").alias("a"), "t").distinct()
-    b = rows.select(F.col("doc").alias("b"), F.col("t").alias("t2")).distinct()
-    found = pairs.join(a, "t").join(b, "t2").where("a <> b")
-    return found.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).distinct()
+    pairs = found.copied(found.copied(pairs, "t", "s"), "t2", "s2")
+    docs = found.rows.select("doc", "t")
+    a = found.scattered(docs, "t", "s").select(F.col("doc").alias("a"), "t", "s")
+    b = found.scattered(docs.select("doc", F.col("t").alias("t2")), "t2", "s2").select(F.col("doc").alias("b"), "t2", "s2")
+    both = pairs.join(a, ["t", "s"]).join(b, ["t2", "s2"]).where("a <> b")
+    return both.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).distinct()

@@ -85,6 +85,20 @@ def test_pairs(spark):
     got = [tuple(r) for r in forms.same_looking_pairs(df, "doc_id", "text").collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert forms.same_looking_pairs(df.limit(0), "doc_id", "text").count() == 0
+    classes = sorted(tuple(r) for r in forms.same_looking_classes(df, "doc_id", "text").collect())
+    assert classes == [(1, 1, 2), (2, 1, 3), (3, 1, 3), (4, 1, 2), (5, 5, 0), (9, 9, 1), (10, 9, 1)]
+    assert forms.same_looking_classes(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_a_hot_text_is_handled_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(forms, "HOT_ROWS", 50)
+    df = spark.createDataFrame([(i, "hot text") for i in range(600)] + [(1000 + i, "hоt text") for i in range(3)] + [(2000 + i, f"text {i}") for i in range(900)], "doc_id long, text string")
+    found = forms.looks(df, "doc_id", "text")
+    assert found.hot.count() == 1 and found.salts > 20
+    assert found.scattered(found.rows, "t", "s").where("s > 0").select("s").distinct().count() > 20
+    assert forms.same_looking_pairs(df, "doc_id", "text").count() == 1800
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in forms.same_looking_classes(df, "doc_id", "text").collect()}
+    assert len(got) == 1503 and got[5] == (0, 3) and got[1001] == (0, 600) and got[2007] == (2007, 0)
 
 
 def test_copies_are_not_paired_with_each_other(spark):
