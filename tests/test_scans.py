@@ -123,3 +123,32 @@ def test_composite_keys_survive_as_text(spark):
     text = df.select(rangescan.entity_text(df, ["a", "b"]).alias("t"))
     assert text.distinct().count() == 3
     assert {tuple(r) for r in text.select(*rangescan.entity_columns(df, ["a", "b"], "t")).collect()} == {(1, None), (1, "a"), (None, "null")}
+
+
+def test_one_interval_over_very_many_stretches(spark, monkeypatch):
+    """An interval that lasts over a million stretches is never one row of a million numbers."""
+    from pyspark.sql import functions as F
+
+    from chronostrata.operators import interlace as module
+
+    n = 1_100_000
+    at = lambda c: F.timestamp_seconds(F.col(c)).cast("timestamp_ntz")
+    short = spark.range(n).select(F.lit("k").alias("key"), F.col("id").alias("a"), at("id").alias("valid_from"), F.timestamp_seconds(F.col("id") + 1).cast("timestamp_ntz").alias("valid_until"))
+    whole = spark.range(1).select(F.lit("k").alias("key"), F.lit("open").alias("b"), at("id").alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_until"))
+    got = module.interlace([short, whole], "key")
+    assert got.agg(F.count(F.lit(1)), F.countDistinct("a"), F.count_if(F.expr("b = 'open'")), F.count_if(F.expr("valid_until IS NULL"))).first()[:] == (n + 1, n, n + 1, 1)
+    sizes = spark.range(1).select(F.size(module.blocks(F.lit(5).cast("bigint"), F.lit(10**9).cast("bigint"), 3))).first()[0]
+    assert sizes < 6_000
+
+
+@pytest.mark.parametrize("bits", [1, 2])
+def test_blocks_cover_every_range_once(spark, monkeypatch, bits):
+    from pyspark.sql import functions as F
+
+    from chronostrata.operators import interlace as module
+
+    monkeypatch.setattr(module, "BITS", bits)
+    ranges = spark.createDataFrame([(a, b) for a in range(20) for b in range(a, 20)], "a long, b long")
+    for row in ranges.select("a", "b", module.blocks(F.col("a"), F.col("b"), 3).alias("x")).collect():
+        numbers = [n for z, k in row["x"] for n in range(k << (bits * z), (k + 1) << (bits * z))]
+        assert sorted(numbers) == list(range(row["a"], row["b"] + 1))
