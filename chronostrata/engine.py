@@ -72,6 +72,7 @@ def update_snapshot(data: DataFrame, store: Store, db_table: str | TableId, time
             result = apply_snapshot(store.read(name, only_open=True), data, t, None, filters, fresh=True, observation=seen)
             store.commit(name, result.history, keep=[p for p in state["parts"] if not p["is_open"]], **facts)
             counts = {k: int(v or 0) for k, v in seen.get.items()}
+            store.tidy(name)
         else:
             seen = Observation()
             result = apply_snapshot(target, data, t, upcoming, filters, observation=seen)

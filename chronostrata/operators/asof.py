@@ -108,7 +108,8 @@ class AsOf:
 def as_of(events: DataFrame, versions: DataFrame, key: list[str], time: str, begin: str, until: str, tie: str, how: str = "left", event_columns: list[str] | None = None, version_columns: list[str] | None = None) -> DataFrame:
     """``event_columns`` (default: all) and ``version_columns`` (default: all but the key) of each event and the version of
     its entity that held. ``time``, ``begin`` and ``until`` are bigint columns in any one unit; ``tie`` orders versions that
-    begin together. Version columns whose names clash get a suffix."""
+    begin together. Version columns whose names clash get a suffix. Both frames are counted first, which costs a look at the
+    footers where they are plain files."""
     ev, vs = event_columns or events.columns, version_columns or [c for c in versions.columns if c not in key]
     e_names, v_names = [f"e{i}" for i in range(len(ev))], [f"v{i}" for i in range(len(vs))]
     e_types, v_types = [events.schema[c].dataType for c in ev], [versions.schema[c].dataType for c in vs]
@@ -116,7 +117,7 @@ def as_of(events: DataFrame, versions: DataFrame, key: list[str], time: str, beg
     none = lambda kinds, names: [F.lit(None).cast(k).alias(n) for k, n in zip(kinds, names, strict=True)]
     left = events.select(rangescan.entity_text(events, key).alias("key"), F.col(time).alias("t"), F.lit(1).cast("byte").alias("p"), F.lit(None).cast("bigint").alias("u"), F.lit(0).cast("bigint").alias("tie"), *[F.col(c).alias(n) for c, n in zip(ev, e_names, strict=True)], *none(v_types, v_names), F.expr(present(events, time)).alias("ok"))
     held = versions.where(present(versions, begin)).select(rangescan.entity_text(versions, key).alias("key"), F.col(begin).alias("t"), F.lit(0).cast("byte").alias("p"), F.coalesce(F.col(until), F.lit(NEVER)).alias("u"), F.col(tie).cast("bigint").alias("tie"), *none(e_types, e_names), *[F.col(c).alias(n) for c, n in zip(vs, v_names, strict=True)]).where("u > t")
-    ordered = rangescan.ordered(left.where("ok").drop("ok").unionByName(held), ["key", "t", "p", "tie"])
+    ordered = rangescan.ordered(left.where("ok").drop("ok").unionByName(held), ["key", "t", "p", "tie"], events.count() + versions.count())
     schema = T.StructType([T.StructField(n, k) for n, k in zip([*e_names, *v_names], [*e_types, *v_types], strict=True)])
     found = rangescan.run(ordered, AsOf(v_names, e_names, how == "inner", [*e_names, *v_names]), schema)
     if how == "left":

@@ -45,11 +45,11 @@ class Stretches:
         return []
 
 
-def stretches(points: DataFrame) -> DataFrame:
+def stretches(points: DataFrame, number: int) -> DataFrame:
     """(key, f, u, n): the stretches between consecutive distinct instants of each key, numbered from 0, given (key text,
-    t bigint) in any order and with repetitions."""
+    t bigint) in any order and with repetitions; ``number`` of them at most."""
     schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("f", T.LongType()), T.StructField("u", T.LongType()), T.StructField("n", T.LongType())])
-    return rangescan.run(rangescan.ordered(points.select("key", "t"), ["key", "t"]), Stretches(), schema)
+    return rangescan.run(rangescan.ordered(points.select("key", "t"), ["key", "t"], number), Stretches(), schema)
 
 
 NOTHING = -(2**63)
@@ -90,4 +90,4 @@ def maximum_before(rows: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of each row and ``before``: the greatest v among its key's rows with a smaller t, null if there
     is none; rows have key (text), t and v (bigint, not null)."""
     schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("before", T.LongType())])
-    return rangescan.run(rangescan.ordered(rows.select("key", "t", "v", *[c for c in keep if c not in ("key", "t", "v")]), ["key", "t"]), Before(keep), schema)
+    return rangescan.run(rangescan.ordered(rows.select("key", "t", "v", *[c for c in keep if c not in ("key", "t", "v")]), ["key", "t"], rows.count()), Before(keep), schema)

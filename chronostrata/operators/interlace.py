@@ -60,7 +60,7 @@ def interlace(tables: list[DataFrame], by: str | list[str], colnames: dict[str,
     if clash := {c for k, v in enumerate(values) for c in v if any(c in w for w in values[:k])}:
         raise ValueError(f"columns of more than one table: {', '.join(sorted(clash))}")
     points = reduce(DataFrame.union, [t.select(F.col("_key").alias("key"), F.explode(F.array("_f", "_u")).alias("t")) for t in named])
-    axis = cut(axes.stretches(points))
+    axis = cut(axes.stretches(points, 2 * sum(t.count() for t in tables)))
     result, most = axis, axis.agg(F.max("n")).first()[0] or 0
     sizes = next(k for k in range(1, 8) if most >> (BITS * k) == 0)
     marked = axis.select(F.col("key").alias("_k3"), F.col("n").alias("_n"), F.inline(F.array(*[F.struct(F.lit(z).alias("_z3"), F.shiftright("n", BITS * z).alias("_block3")) for z in range(sizes)])))

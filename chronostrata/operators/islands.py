@@ -84,5 +84,5 @@ def periods_and_gaps(df: DataFrame, key: list[str], start: str, end: str) -> Dat
     rows = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in key)).select(rangescan.entity_text(df, key).alias("key"), micros(start).alias("s"), F.when(e.isNull() | (e >= OPEN_FROM), F.lit(OPEN)).otherwise(e).alias("e"))
     rows = rows.where("s IS NOT NULL AND e > s").groupBy("key", "s").agg(F.max("e").alias("e"))
     schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("from_us", T.LongType()), T.StructField("until_us", T.LongType())])
-    found = rangescan.run(rangescan.ordered(rows, ["key", "s"]), Islands(), schema)
+    found = rangescan.run(rangescan.ordered(rows, ["key", "s"], df.count()), Islands(), schema)
     return found.select(*rangescan.entity_columns(df, key, "key"), "kind", "from_us", "until_us")

@@ -10,9 +10,9 @@ from chronostrata.operators.joins import join
 META = ("checksum", "from_ts", "until_ts")
 
 
-def filter_keys(df: DataFrame, filters: DataFrame | None, by: list[str] | str | None = None, na_by: list[str] | str | None = None) -> DataFrame:
+def filter_keys(df: DataFrame, filters: DataFrame | None, by: list[str] | str | None = None, na_by: list[str] | str | None = None, nulls_match: bool = False) -> DataFrame:
     """Rows whose keys stand in ``filters``: None keeps all, an empty table none. Without named keys, its columns with any
-    value match plainly and its all-null columns match nulls. It is an inner join: repeated filter rows repeat rows, and
+    value match plainly and its all-null columns match nulls; with ``nulls_match`` null equals null in all of them. It is an inner join: repeated filter rows repeat rows, and
     columns of ``filters`` that aren't keys are added."""
     if filters is None:
         return df
@@ -23,6 +23,8 @@ def filter_keys(df: DataFrame, filters: DataFrame | None, by: list[str] | str |
         seen = filters.agg(F.count(F.lit(1)).alias("__rows"), *[F.count(F.col(f"`{c}`")).alias(f"n{k}") for k, c in enumerate(filters.columns)]).first()
         if not seen["__rows"]:
             return df.limit(0)
+        if nulls_match:
+            return join(df, filters, "inner", na_by=list(filters.columns))
         by = [c for k, c in enumerate(filters.columns) if seen[f"n{k}"]]
         na_by = [c for k, c in enumerate(filters.columns) if not seen[f"n{k}"]]
     return join(df, filters, "inner", by or None, na_by or None)

@@ -50,9 +50,10 @@ def entity_columns(df: DataFrame, key: list[str], text: str) -> list[Column]:
     return [F.from_json(text, kind)[f"k{i}"].alias(k) for i, k in enumerate(key)]
 
 
-def ordered(df: DataFrame, by: list[str], rows: int | None = None) -> DataFrame:
-    """Globally sorted and materialised, with the partition's number in ``_pid``."""
-    width = max(shuffle_width(df.sparkSession), -(-(rows or 0) // PARTITION_ROWS))
+def ordered(df: DataFrame, by: list[str], rows: int) -> DataFrame:
+    """Globally sorted and materialised, with the partition's number in ``_pid``. ``rows`` is the number of rows, or a bound of
+    it: there are as many partitions as it asks for."""
+    width = max(shuffle_width(df.sparkSession), -(-rows // PARTITION_ROWS))
     return cut(df.repartitionByRange(width, *by).sortWithinPartitions(*by).withColumn("_pid", F.spark_partition_id()))
 
 

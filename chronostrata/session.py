@@ -43,9 +43,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, scope: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{scope}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the shared folder, in this application's part of it."""
+    return f"{_own_dir(spark)}/{scope}-{uuid.uuid4().hex[:12]}"
+
+
+def clean(spark: SparkSession) -> bool:
+    """Deletes what ``scratch`` and ``placed`` left in this application. Call it when no result is read any more; Spark itself
+    deletes checkpoints if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
 
 
 def cut(df: DataFrame) -> DataFrame:

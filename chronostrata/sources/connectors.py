@@ -3,9 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_URLS = {"postgresql": "jdbc:postgresql://{host}:{port}/{dbname}", "sqlserver": "jdbc:sqlserver://{host}:{port};databaseName={dbname}", "sqlite": "jdbc:sqlite:{dbname}", "duckdb": "jdbc:duckdb:{dbname}"}
+_URLS = {"postgresql": "jdbc:postgresql://{host}:{port}/{dbname}", "sqlserver": "jdbc:sqlserver://{host}:{port};databaseName={dbname}", "sqlite": "jdbc:sqlite:{dbname}", "duckdb": "jdbc:duckdb:{dbname}", "derby": "jdbc:derby:{dbname}"}
 _PORTS = {"postgresql": 5432, "sqlserver": 1433}
+# Where each kind of database lists its tables and views.
+_LISTS = {
+    "postgresql": "(SELECT table_schema, table_name FROM information_schema.tables) AS listed",
+    "sqlserver": "(SELECT table_schema, table_name FROM information_schema.tables) AS listed",
+    "duckdb": "(SELECT table_schema, table_name FROM information_schema.tables) AS listed",
+    "sqlite": "(SELECT 'main' AS table_schema, name AS table_name FROM sqlite_master WHERE type IN ('table', 'view')) AS listed",
+    "derby": "(SELECT s.schemaname AS table_schema, t.tablename AS table_name FROM sys.systables AS t JOIN sys.sysschemas AS s ON s.schemaid = t.schemaid WHERE t.tabletype <> 'S') AS listed",
+}
 FILES = ("parquet", "orc", "csv", "json", "text")
 
 
@@ -17,13 +26,40 @@ def jdbc_url(kind: str, dbname: str, host: str = "localhost", port: int | None =
     return _URLS[kind].format(host=host, port=port or _PORTS.get(kind), dbname=dbname)
 
 
+def _reader(spark: SparkSession, url: str, table: str, properties: dict[str, str]):
+    return spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**properties)
+
+
+def can_connect(spark: SparkSession, url: str, **properties: str) -> bool:
+    """Whether the database answers: its driver is there, and it lets us in."""
+    kind = url.split(":")[1]
+    try:
+        _reader(spark, url, _LISTS.get(kind, "(SELECT 1 AS one) AS t"), properties).load()
+    except Exception:
+        return False
+    return True
+
+
+def jdbc_tables(spark: SparkSession, url: str, pattern: str | None = None, **properties: str) -> DataFrame:
+    """(schema, table) of a database's tables and views whose ``schema.table`` the pattern is found in."""
+    kind = url.split(":")[1]
+    if kind not in _LISTS:
+        raise ValueError(f"unknown kind of database {kind!r}: one of {', '.join(_LISTS)}")
+    rows = _reader(spark, url, _LISTS[kind], properties).load().toDF("schema", "table")
+    return rows if pattern is None else rows.where(F.concat_ws(".", "schema", "table").rlike(pattern))
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 8, **properties: str) -> DataFrame:
-    """A table or (select ...) of a database; read in parallel over ranges of a numeric column if one is named. The
-    driver's jar must be on the class path."""
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**properties)
+    """A table or ``(select ...) AS name`` of a database; read in parallel over ranges of a numeric column if one is named, from
+    its least to its greatest value unless bounds are given. The driver's jar must be on the class path."""
+    reader = _reader(spark, url, table, properties)
     if column is not None:
-        lo, hi = bounds or (0, 1)
-        reader = reader.option("partitionColumn", column).option("lowerBound", lo).option("upperBound", hi).option("numPartitions", partitions)
+        if bounds is None:
+            named = next(c for c in reader.load().columns if c.lower() == column.lower()).replace('"', '""')
+            bounds = tuple(_reader(spark, url, f'(SELECT min("{named}") AS lo, max("{named}") AS hi FROM {table}) AS bounds', properties).load().first())
+            if bounds[0] is None:
+                return reader.load()
+        reader = reader.option("partitionColumn", column).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", partitions)
     return reader.load()
 
 

@@ -1,4 +1,8 @@
-"""One writer per table: lock files that are created exclusively, in one place for all writers."""
+"""One writer per table: lock files that are created exclusively, in one place for all writers.
+
+A lock is a lease. Of a process on this machine it is known whether it lives; one on another machine counts as living
+until its lease is over. The owner renews its lease by locking again.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +18,10 @@ from chronostrata.sources.ident import TableId
 from chronostrata.sources.store import Store
 
 
+#: Seconds after which a lock of another machine's process no longer counts.
+LEASE = 86_400
+
+
 def _path(store: Store, t: TableId):
     return store.files._path(f"{store.root}/_locks/{t.schema}/{t.table}.json")
 
@@ -30,7 +38,7 @@ def _owner(store: Store, path) -> dict | None:
 
 def _alive(owner: dict) -> bool:
     if owner.get("host") != socket.gethostname() or "pid" not in owner:
-        return True  # nothing can be said about another machine's processes
+        return time.time() < owner.get("lock_start", 0) + owner.get("lease", LEASE)
     try:
         os.kill(int(owner["pid"]), 0)
     except ProcessLookupError:
@@ -40,28 +48,41 @@ def _alive(owner: dict) -> bool:
     return True
 
 
-def lock_table(store: Store, name: str | TableId, pid: int | None = None) -> bool:
-    """True if this process holds the lock now, False if a living one does; an error if its owner died."""
+def _write(store: Store, path, t: TableId, pid: int, lease: float, overwrite: bool) -> None:
+    stream = store.files._fs.create(path, overwrite)
+    try:
+        stream.write(bytearray(json.dumps({"schema": t.schema, "table": t.table, "user": getpass.getuser(), "lock_start": time.time(), "lease": lease, "pid": pid, "host": socket.gethostname()}).encode()))
+    finally:
+        stream.close()
+
+
+def lock_table(store: Store, name: str | TableId, pid: int | None = None, lease: float = LEASE) -> bool:
+    """True if this process holds the lock now (and has renewed it if it did before), False if a living one does; an error if
+    its owner died or let the lease pass."""
     t, pid = store.id(name), pid or os.getpid()
     path = _path(store, t)
     try:
-        stream = store.files._fs.create(path, False)
-        try:
-            stream.write(bytearray(json.dumps({"schema": t.schema, "table": t.table, "user": getpass.getuser(), "lock_start": time.time(), "pid": pid, "host": socket.gethostname()}).encode()))
-        finally:
-            stream.close()
+        _write(store, path, t, pid, lease, overwrite=False)
         return True
     except Exception as e:
         if "AlreadyExists" not in str(e) and "already exists" not in str(e):
             raise
     owner = _owner(store, path) or {}
     if owner.get("pid") == pid and owner.get("host") == socket.gethostname():
+        _write(store, path, t, pid, lease, overwrite=True)
         return True
     if not _alive(owner):
-        raise RuntimeError(f"Active lock (user = {owner.get('user')}, PID = {owner.get('pid')}) on table {t} is no longer a valid PID! Process likely crashed before completing.")
+        raise RuntimeError(f"{t} is locked by process {owner.get('pid')} of {owner.get('user')} on {owner.get('host')}, which is gone: see what it left, then break the lock")
     return False
 
 
+def break_lock(store: Store, name: str | TableId) -> bool:
+    """Removes a lock whose owner is gone; a living owner's stays."""
+    path = _path(store, store.id(name))
+    owner = _owner(store, path)
+    return owner is not None and not _alive(owner) and bool(store.files._fs.delete(path, False))
+
+
 def unlock_table(store: Store, name: str | TableId, pid: int | None = None) -> bool:
     """Removes the lock if this process (or the given one) owns it."""
     t = store.id(name)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import uuid
 from typing import Any
 
@@ -35,6 +36,10 @@ class Manifests:
         names = (s.getPath().getName() for s in self._fs.listStatus(self._dir))
         return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"(\d+)\.json", n)))
 
+    def age(self, version: int) -> float:
+        """Seconds since a version was committed."""
+        return time.time() - self._fs.getFileStatus(self._path(f"{self.root}/_manifests/{version}.json")).getModificationTime() / 1000
+
     def read(self, version: int | None = None) -> dict[str, Any] | None:
         """The manifest of a version (default: the newest); None if nothing was committed yet."""
         version = version if version is not None else next(reversed(self.versions()), None)

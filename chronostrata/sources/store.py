@@ -26,7 +26,16 @@ from chronostrata.sources.manifest import Manifests
 
 #: Slice that reads what holds now; None reads the full history.
 LATEST = object()
-_OPEN = "_open"
+THIS = object()
+_OPEN, _ID = "_open", "_chronostrata_id"
+#: Closed parts that are merged into one.
+TIER = 16
+
+
+def named(data: DataFrame, t: TableId) -> DataFrame:
+    """The frame, which knows its identifier from now on; frames that are made of it don't."""
+    setattr(data, _ID, t)
+    return data
 
 
 @dataclass(frozen=True)
@@ -36,21 +45,31 @@ class Part:
 
 
 class Store:
-    """The tables below ``root``. ``catalog`` and ``schema`` are the defaults of identifiers."""
+    """The tables below ``root``. ``catalog`` and ``schema`` are the defaults of identifiers. Of each table the last ``keep``
+    versions stay, and older ones for ``retain`` seconds, so that nothing is deleted under a reader that began in that
+    time."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None, schema: str = "main", catalog: str = "chronostrata", keep: int = 5):
+    def __init__(self, spark: SparkSession, root: str | None = None, schema: str = "main", catalog: str = "chronostrata", keep: int = 5, retain: float = 86_400):
         self.spark, self.root = pin_utc(spark), (root or f"{shared_dir(spark)}/tables").rstrip("/")
-        self.schema, self.catalog, self.keep = schema, catalog, keep
+        self.schema, self.catalog, self.keep, self.retain = schema, catalog, keep, retain
         self.files = Manifests(spark, self.root)
         self.valid = True
 
     # -- catalog ------------------------------------------------------------------------------------------------
 
-    def get_catalog(self) -> str:
-        return self.catalog
+    def get_catalog(self, of: Any = THIS, temporary: bool = False) -> str | None:
+        """The default catalog, or that of an identifier, of a table that was read here, or None of None."""
+        return self._part(of, self.catalog, temporary, "catalog")
 
-    def get_schema(self, temporary: bool = False) -> str | None:
-        return None if temporary else self.schema
+    def get_schema(self, of: Any = THIS, temporary: bool = False) -> str | None:
+        """The default schema, or that of an identifier, of a table that was read here, or None of None; temporary tables have
+        none."""
+        return self._part(of, self.schema, temporary, "schema")
+
+    def _part(self, of: Any, default: str, temporary: bool, part: str) -> str | None:
+        if of is None or temporary:
+            return None
+        return default if of is THIS or of is self else getattr(of if isinstance(of, TableId) else self.id(of), part)
 
     def create_schema(self, schema: str) -> None:
         self.files._fs.mkdirs(self.files._path(f"{self.root}/{schema}"))
@@ -59,10 +78,17 @@ class Store:
         return schema == self.schema or (not schema.startswith("_") and self.files.exists(schema))
 
     def id(self, name: str | TableId | DataFrame, allow_table_only: bool = True) -> TableId:
+        """Of an identifier, a text, one row that names a table, or a table that was read here and not changed since."""
         if isinstance(name, TableId):
             return name.qualify(self)
         if isinstance(name, DataFrame):
+            if (known := getattr(name, _ID, None)) is not None:
+                return known
+            if "table" not in name.columns:
+                raise ValueError("this table doesn't know its name: it is derived from others, or wasn't read from a store")
             return TableId.from_row(name).qualify(self)
+        if not isinstance(name, str):
+            raise TypeError(f"a table is named by a text, an identifier or a table, not by {type(name).__name__}")
         return TableId.parse(name, self, allow_table_only)
 
     def _listed(self, show_temporary: bool = True) -> list[TableId]:
@@ -81,7 +107,9 @@ class Store:
         return self.spark.createDataFrame(rows, "catalog string, schema string, table string")
 
     def table_exists(self, name: str | TableId | DataFrame) -> bool:
-        """Whether exactly one table has the name; a text that fits several is an error."""
+        """Whether exactly one table has the name; a text that fits several is an error, and so is anything that names no table."""
+        if not isinstance(name, str):
+            name = self.id(name) if not isinstance(name, TableId) else name
         if isinstance(name, TableId):
             return name.qualify(self) in self._listed() or (name.schema is None and TableId(name.table) in self._listed())
         fits = [t for t in self._listed() if name in (f"{t.schema}.{t.table}" if t.schema else t.table, str(t)) or (t.schema == self.schema and t.table == name)]
@@ -105,7 +133,8 @@ class Store:
         at, m = self.manifests(name).root, self.state(name, version)
         schema = T.StructType.fromJson(m["schema"])
         paths = [f"{at}/{p['path']}" for p in m["parts"] if not only_open or p["is_open"] in (True, None)]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        data = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return named(data, self.id(name))
 
     def commit(self, name: str | TableId, data: DataFrame | None, keep: list[dict] | None = None, **facts: Any) -> int:
         """Writes ``data`` as new parts, beside the ``keep`` parts of the version before, and makes the version visible."""
@@ -128,17 +157,35 @@ class Store:
         return version
 
     def _retire(self, manifests: Manifests) -> None:
-        """Deletes versions beyond the last ``keep`` and the parts that no kept version names."""
+        """Deletes versions beyond the last ``keep`` that are older than ``retain``, and the parts that no other version names."""
         versions = manifests.versions()
-        if len(versions) <= self.keep:
+        old = [v for v in versions[: -self.keep] if manifests.age(v) >= self.retain]
+        if not old:
             return
-        old, kept = versions[: -self.keep], versions[-self.keep :]
-        used = {p["path"] for v in kept for p in manifests.read(v)["parts"]}
+        used = {p["path"] for v in versions if v not in set(old) for p in manifests.read(v)["parts"]}
         for p in {p["path"] for v in old for p in manifests.read(v)["parts"]} - used:
             manifests.delete(f"{p}")
         for v in old:
             manifests.delete(f"_manifests/{v}.json")
 
+    def tidy(self, name: str | TableId) -> int | None:
+        """Merges closed parts of a historical table where there are many: ``TIER`` parts of one tier become one of the next. So
+        a row is rewritten as often as the logarithm of the number of updates. The new version, None if there was nothing
+        to merge."""
+        manifests, state = self.manifests(name), self.state(name)
+        tiers: dict[int, list[dict]] = {}
+        for p in state["parts"]:
+            if p["is_open"] is False:
+                tiers.setdefault(p.get("tier", 0), []).append(p)
+        full = next((t for t in sorted(tiers) if len(tiers[t]) >= TIER), None)
+        if full is None:
+            return None
+        merged, out = tiers[full], f"data/v{state['version'] + 1}"
+        data = self.spark.read.schema(T.StructType.fromJson(state["schema"])).parquet(*[f"{manifests.root}/{p['path']}" for p in merged])
+        data.coalesce(max(1, data.rdd.getNumPartitions() // TIER)).write.mode("overwrite").parquet(f"{manifests.root}/{out}")
+        rest = [p for p in state["parts"] if p not in merged]
+        return self.commit(name, None, keep=[*rest, {"path": out, "is_open": False, "tier": full + 1}])
+
     def compact(self, name: str | TableId) -> int:
         """Rewrites a table's parts as few, with the same rows."""
         return self.commit(name, self.read(name))
@@ -189,12 +236,12 @@ class Store:
         else:
             data = self.read(t, only_open=slice_ts is LATEST)
         if not is_historical(data):
-            return data
+            return named(data, t)
         if slice_ts is LATEST:
             data = data.where("until_ts IS NULL")
         elif slice_ts is not None:
             data = slice_time(data, slice_ts)
-        return data if include_slice_info or slice_ts is None else data.drop(*META)
+        return named(data if include_slice_info or slice_ts is None else data.drop(*META), t)
 
     def latest_snapshot(self, name: str | TableId):
         """The latest instant that a snapshot or, in tables filled otherwise, any record has; None for an empty table."""

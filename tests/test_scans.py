@@ -113,7 +113,7 @@ def test_stretches_and_maximum_before(spark, seed):
     for k in {r[1] for r in rows}:
         points = sorted({r[2] for r in rows if r[1] == k})
         want |= {(k, a, b, n) for n, (a, b) in enumerate(zip(points, points[1:], strict=False))}
-    assert {tuple(r) for r in axis.stretches(df).collect()} == want
+    assert {tuple(r) for r in axis.stretches(df, df.count()).collect()} == want
     before = {(i, max((v2 for _, k2, t2, v2 in rows if k2 == k and t2 < t), default=None)) for i, k, t, _ in rows}
     assert {tuple(r) for r in axis.maximum_before(df, ["id"]).collect()} == before
 

@@ -11,7 +11,7 @@ from chronostrata import engine
 from chronostrata.operators.cow import BucketedTable
 from chronostrata.sources import connectors
 from chronostrata.sources.ident import TableId, unique_table_name
-from chronostrata.sources.locks import lock_table, locks, unlock_table
+from chronostrata.sources.locks import break_lock, lock_table, locks, unlock_table
 from chronostrata.sources.logs import Logger, LoggerNull, create_logs_if_missing
 from chronostrata.sources.store import LATEST, close_connection, get_connection, table_signature, temporary_view
 from chronostrata.streaming.sink import change_sink, snapshot_sink
@@ -82,7 +82,13 @@ def test_signatures(spark):
     assert table_signature(df.drop("until_ts"))["from_ts"] == "string"
 
 
-def test_old_versions_go(spark, store):
+def test_old_versions_go(spark, store, monkeypatch):
+    for i in range(3):
+        engine.update_snapshot(spark.createDataFrame([(i,)], "a int"), store, "test.kept", datetime(2024, 1, 1 + i))
+    store.keep = 2
+    store._retire(store.manifests("test.kept"))
+    assert len(store.manifests("test.kept").versions()) == 4  # none is a day old
+    store.keep, store.retain = 5, 0
     for i in range(9):
         engine.update_snapshot(spark.createDataFrame([(i,)], "a int"), store, "test.t", datetime(2024, 1, 1 + i))
     m = store.manifests("test.t")
@@ -90,6 +96,57 @@ def test_old_versions_go(spark, store):
     assert store.get_table("test.t", None).count() == 9 and store.get_table("test.t", LATEST, True).count() == 1
 
 
+def test_closed_parts_are_merged_in_tiers(spark, store, monkeypatch):
+    from chronostrata.sources import store as module
+
+    monkeypatch.setattr(module, "TIER", 3)
+    for i in range(8):
+        engine.update_snapshot(spark.createDataFrame([(i,)], "a int"), store, "test.t", datetime(2024, 1, 1 + i))
+    closed = [p.get("tier", 0) for p in store.state("test.t")["parts"] if not p["is_open"]]
+    assert len(closed) < 5 and max(closed) == 1
+    got = sorted((r["a"], r["until_ts"] is None) for r in store.get_table("test.t", None).collect())
+    assert got == [(i, i == 7) for i in range(8)]
+
+
+def test_tables_know_their_names(spark, store):
+    store.write_table(spark.createDataFrame([(1,)], "a int"), "test.t")
+    t = store.get_table("test.t")
+    assert store.id(t) == TableId("t", "test", "chronostrata") and store.table_exists(t) and store.table_exists(spark.createDataFrame([("test", "t")], "schema string, table string"))
+    assert not store.table_exists(spark.createDataFrame([("test", "u")], "schema string, table string"))
+    assert (store.get_schema(t), store.get_schema(TableId("x", "y")), store.get_schema(None), store.get_schema(store), store.get_catalog(t), store.get_catalog(None), store.get_catalog(TableId("x"))) == ("test", "y", None, "main", "chronostrata", None, None)
+    with pytest.raises(ValueError, match="know its name"):
+        store.table_exists(t.where("a = 1"))
+    for bad in (5, None, ["test.t"]):
+        with pytest.raises(TypeError):
+            store.table_exists(bad)
+
+
+def test_a_database(spark, tmp_path):
+    """A real one: the database that Spark brings along."""
+    url = connectors.jdbc_url("derby", f"{tmp_path}/db;create=true")
+    assert connectors.can_connect(spark, url) and not connectors.can_connect(spark, connectors.jdbc_url("derby", f"{tmp_path}/none")) and not connectors.can_connect(spark, connectors.jdbc_url("postgresql", "none"))
+    rows = spark.range(1000).selectExpr("id AS i", "CASE WHEN id % 3 > 0 THEN concat('n', id) END AS s")
+    connectors.write_jdbc(rows, url, "app.things", "overwrite")
+    connectors.write_jdbc(rows.where("i < 5").selectExpr("i + 1000 AS i", "s"), url, "app.things")
+    assert [tuple(r) for r in connectors.jdbc_tables(spark, url, "THINGS$").collect()] == [("APP", "THINGS")]
+    got = connectors.read_jdbc(spark, url, "app.things", "i", partitions=4)
+    sizes = got.rdd.glom().map(len).collect()
+    assert got.count() == 1005 and len(sizes) == 4 and max(sizes) < 300 and got.where("s IS NULL").count() == 336
+    assert connectors.read_jdbc(spark, url, '(SELECT "i" FROM app.things WHERE "i" < 0) AS few', "i").count() == 0
+    with pytest.raises(ValueError):
+        connectors.jdbc_tables(spark, "jdbc:oracle:x")
+
+
+def test_scratch_is_cleaned(spark):
+    from chronostrata.session import clean, scratch
+
+    path = scratch(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert clean(spark)
+    with pytest.raises(Exception, match="(?i)path_not_found|does not exist"):
+        spark.read.parquet(path).count()
+
+
 def test_connection(spark, tmp_path):
     s = get_connection(spark, f"file://{tmp_path}/x", schema="dflt")
     assert s.get_schema() == "dflt" and s.get_schema(temporary=True) is None and s.get_catalog() == "chronostrata"
@@ -106,9 +163,24 @@ def test_locks(spark, store):
     dead = subprocess.Popen([sys.executable, "-c", ""])
     dead.wait()
     lock_table(store, "test.t", pid=dead.pid)
-    with pytest.raises(RuntimeError, match="no longer a valid PID"):
+    with pytest.raises(RuntimeError, match="is gone"):
         lock_table(store, "test.t")
-    unlock_table(store, "test.t", pid=dead.pid)
+    assert break_lock(store, "test.t") and not break_lock(store, "test.t")
+
+
+def test_a_lock_of_another_machine_is_a_lease(spark, store, monkeypatch):
+    from chronostrata.sources import locks as module
+
+    with monkeypatch.context() as elsewhere:
+        elsewhere.setattr(module.socket, "gethostname", lambda: "elsewhere")
+        assert lock_table(store, "test.t", pid=7, lease=3600)
+    assert lock_table(store, "test.t") is False and not break_lock(store, "test.t")
+    with monkeypatch.context() as later:
+        now = module.time.time()
+        later.setattr(module.time, "time", lambda: now + 3601)
+        with pytest.raises(RuntimeError, match="is gone"):
+            lock_table(store, "test.t")
+        assert break_lock(store, "test.t") and lock_table(store, "test.t")
 
 
 def test_logger(spark, store, tmp_path, capsys):
