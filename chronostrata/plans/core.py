@@ -123,8 +123,14 @@ def slice_multi_cols(spark: SparkSession, d: str) -> DataFrame:
     return history.slice_time(o, "2022-01-01", ["obs_ts", "received_at"], "end_a").select("obs_id").distinct()
 
 
+def _people(spark: SparkSession, d: str) -> DataFrame:
+    """All customers without their balance, and all of them again without a segment."""
+    c = load(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    return c.unionByName(c.withColumn("c_mktsegment", F.lit(None).cast("string")))
+
+
 def checksum_all(spark: SparkSession, d: str) -> DataFrame:
-    return digest_to_checksum(load(spark, d, "nation").unionByName(load(spark, d, "nation").withColumn("n_name", F.lit(None).cast("string"))))
+    return digest_to_checksum(_people(spark, d))
 
 
 def checksum_exclude(spark: SparkSession, d: str) -> DataFrame:
@@ -141,7 +147,7 @@ def unite_keep(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unite_all(spark: SparkSession, d: str) -> DataFrame:
-    return unite(load(spark, d, "region"), "everything")
+    return unite(_people(spark, d), "everything")
 
 
 def _allowed(spark: SparkSession) -> DataFrame:
@@ -161,6 +167,11 @@ def filter_keys_null_key(spark: SparkSession, d: str) -> DataFrame:
     return keys.filter_keys(rows_, spark.createDataFrame([(None,)], "obs_2 string"))
 
 
+def filter_keys_nulls_match(spark: SparkSession, d: str) -> DataFrame:
+    rows_ = load(spark, d, "interlace").select("row_id", "key_id", "obs_2")
+    return keys.filter_keys(rows_, rows_.select("obs_2").distinct(), nulls_match=True)
+
+
 def filter_keys_empty(spark: SparkSession, d: str) -> DataFrame:
     return keys.filter_keys(load(spark, d, "customer"), _allowed(spark).limit(0)).agg(F.count(F.lit(1)).alias("n"))
 
@@ -191,6 +202,13 @@ def join_theta(spark: SparkSession, d: str) -> DataFrame:
 
 
 def not_in_null_aware(spark: SparkSession, d: str) -> DataFrame:
+    """y holds nulls, so no row of x is known not to be in it; an empty y holds none."""
+    x, y = _xy(spark, d)
+    some, none = (joins.not_in(x.select("c_custkey", "g"), z.select("g"), "g") for z in (y, y.limit(0)))
+    return _text(some.withColumn("y", F.lit("nulls")).unionByName(none.withColumn("y", F.lit("empty"))), "g")
+
+
+def not_in_without_nulls(spark: SparkSession, d: str) -> DataFrame:
     x, y = _xy(spark, d)
     return joins.not_in(x.select("c_custkey", "g"), y.where("g IS NOT NULL").select("g"), "g").select("c_custkey", "g")
 
@@ -247,6 +265,13 @@ def delta_log_counts(spark: SparkSession, d: str) -> DataFrame:
     return _text(deltas.delta_counts(h.limit(0), deltas.export_delta(h, T1).data))
 
 
+def delta_log_counts_again(spark: SparkSession, d: str) -> DataFrame:
+    """Into a table that has the first delta already: what it knows is neither inserted nor, if it knew the end, ended again."""
+    h = _islands(spark, d)
+    target = deltas.apply_delta(h.limit(0), deltas.export_delta(h, T1, "2024-01-15").data)
+    return _text(deltas.delta_counts(target, deltas.export_delta(h, T1).data))
+
+
 def _base(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "customer").where("c_nationkey < 20").select(F.col("c_custkey").alias("k"), F.when(F.col("c_acctbal") < 3000, None).otherwise(F.col("c_mktsegment")).alias("m"))
 
@@ -290,8 +315,58 @@ def literal_update(spark: SparkSession, d: str) -> DataFrame:
     return _text(store.get_table(TABLE, None))
 
 
+def literal_late(spark: SparkSession, d: str) -> DataFrame:
+    """The second snapshot comes last: what it lacks loses its later part, by the older rules."""
+    store = _store(spark)
+    for i, t in ((1, T1), (3, T3), (2, T2)):
+        engine.update_snapshot(_snapshot(spark, d, i), store, TABLE, t, literal=True, enforce_chronological_order=False)
+    return _text(store.get_table(TABLE, None))
+
+
+def scd_colliding(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads that share a checksum: '_' within values, and null beside ''. All of them are kept, and end alone."""
+    def payload(step: int) -> DataFrame:
+        c = load(spark, d, "customer").where("c_nationkey < 20" if step == 1 else "c_nationkey >= 5")
+        pairs = F.explode(F.array(*[F.struct(a.alias("a"), b.alias("b")) for a, b in (
+            (F.concat(F.col("c_custkey").cast("string"), F.lit("_x")), F.lit("y")), (F.col("c_custkey").cast("string"), F.lit("x_y")),
+            (F.lit(""), F.col("c_name")), (F.lit(None).cast("string"), F.col("c_name")))])).alias("p")
+        rows_ = c.select("c_custkey", pairs).select("p.a", "p.b", "c_custkey")
+        return rows_.where("c_custkey % 2 = 0 OR a IS NOT NULL" if step == 1 else "c_custkey % 3 = 0 OR b <> 'x_y'").select("a", "b").distinct()
+
+    store = _store(spark)
+    for step, t in ((1, T1), (2, T2)):
+        engine.update_snapshot(payload(step), store, TABLE, t)
+    return _text(store.get_table(TABLE, None))
+
+
+def lock_states(spark: SparkSession, d: str) -> DataFrame:
+    from chronostrata.sources.locks import lock_table, locks, unlock_table
+
+    store = _updated(spark, d, (1,))
+    got = [("taken", lock_table(store, TABLE)), ("renewed", lock_table(store, TABLE)), ("another's", lock_table(store, TABLE, pid=1)), ("not another's to give", unlock_table(store, TABLE, pid=1))]
+    got += [("listed", locks(store).count() == 1), ("given back", unlock_table(store, TABLE)), ("gone", locks(store).count() == 0), ("free", lock_table(store, TABLE))]
+    return spark.createDataFrame(got, "step string, result boolean")
+
+
+def index_of_table(spark: SparkSession, d: str) -> DataFrame:
+    store = _updated(spark, d, (1,))
+    store.create_index(TABLE, ["k", "from_ts"])
+    try:
+        store.create_index(TABLE, ["m"])
+    except ValueError:
+        return store.get_table(TABLE, None).select("k", F.lit(",".join(store.state(TABLE)["key"])).alias("key"))
+
+
+def table_ids(spark: SparkSession, d: str) -> DataFrame:
+    store = _updated(spark, d, (1,))
+    t = store.get_table(TABLE)
+    got = [("table", str(store.id(t)), store.table_exists(t)), ("row", str(store.id(store.get_tables("customers", False))), store.table_exists(store.get_tables("customers", False)))]
+    got += [("text", str(store.id(TABLE)), store.table_exists(TABLE)), ("unknown", str(store.id("none")), store.table_exists("none")), ("schema", store.get_schema(t), True), ("catalog", store.get_catalog(t), True)]
+    return spark.createDataFrame(got, "what string, id string, found boolean")
+
+
 def checksum_sha256(spark: SparkSession, d: str) -> DataFrame:
-    return digest_to_checksum(load(spark, d, "region"), algorithm="sha256")
+    return digest_to_checksum(_people(spark, d), algorithm="sha256")
 
 
 def snapshot_difference(spark: SparkSession, d: str) -> DataFrame:
@@ -327,8 +402,8 @@ def db_timestamp_literals(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     scd_history, scd_out_of_order, scd_islands, scd_first_snapshot, scd_current, scd_slice_t2, scd_noop_update, scd_same_timestamp,
     scd_update_counts, scd_filtered_update, merkle_stored, slice_custom_cols, slice_multi_cols, checksum_all, checksum_exclude, unite_default, unite_keep, unite_all,
-    filter_keys_single, filter_keys_composite, filter_keys_null_key, filter_keys_empty, join_theta, not_in_null_aware,
-    interlace_two, interlace_three_named, nrow_table, count_by_ts, delta_open, delta_bounded, delta_replay, delta_replay_out_of_order, delta_log_counts,
+    filter_keys_single, filter_keys_composite, filter_keys_null_key, filter_keys_nulls_match, filter_keys_empty, join_theta, not_in_null_aware, not_in_without_nulls, scd_colliding,
+    interlace_two, interlace_three_named, nrow_table, count_by_ts, delta_open, delta_bounded, delta_replay, delta_replay_out_of_order, delta_log_counts, delta_log_counts_again, literal_late, lock_states, index_of_table, table_ids,
     rows_upsert, rows_update, rows_patch, rows_insert, rows_append, rows_delete, snapshot_difference, slice_max, literal_update, checksum_sha256, list_tables, table_exists, log_table, db_timestamp_literals,
 )} | {f"join_{how}_{kind}": _join(how, kind) for how in joins.HOW for kind in ("by", "na_by", "mixed")}
 
@@ -388,6 +463,8 @@ _EDIT = "(SELECT c_custkey AS k, 'EDIT' AS m FROM customer WHERE c_nationkey >=
 _ALLOWED = "(SELECT * FROM (VALUES ('BUILDING', 1), ('MACHINERY', 2), ('MACHINERY', 3)) AS v(seg, nat))"
 _ROWS = lambda a, b: f"SELECT (SELECT count(*) FROM ({_S[a]} EXCEPT {_S[b]}) AS q) "
 _CUT = lambda i, a, b: f"SELECT {i} AS step, CAST((SELECT count(*) FROM ({_S[b]} EXCEPT {a}) AS p) AS INTEGER) AS n_insertions, CAST((SELECT count(*) FROM ({a} EXCEPT {_S[b]}) AS q) AS INTEGER) AS n_deactivations"
+_PEOPLE = "(SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer UNION ALL SELECT c_custkey, c_name, c_nationkey, NULL FROM customer) AS q"
+_JOINED = "CAST(c_custkey AS VARCHAR) || '_' || c_name || '_' || CAST(c_nationkey AS VARCHAR) || '_' || coalesce(c_mktsegment, '')"
 _NONE = "SELECT * FROM (" + _S[1] + ") AS none WHERE false"
 
 SQL = {
@@ -406,17 +483,19 @@ SQL = {
     "merkle_stored": _history_sql(_ALL3, "k, n, m, from_ts, until_ts"),
     "slice_custom_cols": "SELECT DISTINCT rec_id, region_id FROM slice_time WHERE from_ts <= TIMESTAMP '2022-01-01' AND (until_ts IS NULL OR TIMESTAMP '2022-01-01' < until_ts)",
     "slice_multi_cols": "SELECT DISTINCT obs_id FROM observations WHERE (obs_ts <= TIMESTAMP '2022-01-01' OR received_at <= TIMESTAMP '2022-01-01') AND (obs_ts IS NULL OR TIMESTAMP '2022-01-01' < obs_ts + INTERVAL 1 DAY)",
-    "checksum_all": "SELECT *, md5(CAST(n_nationkey AS VARCHAR) || '_' || coalesce(n_name, '') || '_' || CAST(n_regionkey AS VARCHAR)) AS checksum FROM (SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT n_nationkey, NULL, n_regionkey FROM nation) AS q",
+    "checksum_all": f"SELECT *, md5({_JOINED}) AS checksum FROM {_PEOPLE}",
     "checksum_exclude": "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, md5(CAST(o_custkey AS VARCHAR) || '_' || o_orderstatus || '_' || o_orderpriority) AS checksum FROM orders",
     "unite_default": "SELECT c_custkey, nullif(concat_ws('_', c_name, c_mktsegment), '') AS both FROM customer",
     "unite_keep": "SELECT row_id, nullif(concat_ws('-', key_id, obs_2), '') AS both, key_id, obs_2 FROM interlace",
-    "unite_all": "SELECT nullif(concat_ws('_', CAST(r_regionkey AS VARCHAR), r_name), '') AS everything FROM region",
+    "unite_all": f"SELECT concat_ws('_', CAST(c_custkey AS VARCHAR), c_name, CAST(c_nationkey AS VARCHAR), c_mktsegment) AS everything FROM {_PEOPLE}",
     "filter_keys_single": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')",
     "filter_keys_composite": f"SELECT c_custkey, c_mktsegment, c_nationkey FROM customer JOIN {_ALLOWED} AS a ON a.seg = c_mktsegment AND a.nat = c_nationkey",
     "filter_keys_null_key": "SELECT row_id, key_id, obs_2 FROM interlace WHERE obs_2 IS NULL",
+    "filter_keys_nulls_match": "SELECT row_id, key_id, i.obs_2 FROM interlace AS i JOIN (SELECT DISTINCT obs_2 FROM interlace) AS f ON i.obs_2 IS NOT DISTINCT FROM f.obs_2",
     "filter_keys_empty": "SELECT CAST(0 AS BIGINT) AS n",
     "join_theta": "SELECT n.*, CAST(r.r_regionkey AS VARCHAR) AS r_regionkey, r.r_name FROM nation AS n LEFT JOIN region AS r ON n.n_nationkey BETWEEN r.r_regionkey * 4 AND r.r_regionkey * 5",
-    "not_in_null_aware": f"SELECT c_custkey, g FROM {_X} AS x WHERE g NOT IN (SELECT g FROM {_Y} AS y WHERE g IS NOT NULL)",
+    "not_in_null_aware": f"SELECT c_custkey, CAST(g AS VARCHAR) AS g, 'nulls' AS y FROM {_X} AS x WHERE g NOT IN (SELECT g FROM {_Y} AS y) UNION ALL SELECT c_custkey, CAST(g AS VARCHAR), 'empty' FROM {_X} AS x WHERE g NOT IN (SELECT g FROM {_Y} AS y WHERE false)",
+    "not_in_without_nulls": f"SELECT c_custkey, g FROM {_X} AS x WHERE g NOT IN (SELECT g FROM {_Y} AS y WHERE g IS NOT NULL)",
     "interlace_two": _interlace_sql(["a", "b"]),
     "interlace_three_named": _interlace_sql(["a", "b", "c"]),
     "nrow_table": "SELECT count(*) AS n FROM lineitem",
@@ -426,6 +505,18 @@ SQL = {
     "delta_replay": _FULL,
     "delta_replay_out_of_order": _FULL,
     "delta_log_counts": f"WITH hist AS ({_FULL}) {_COUNTS}",
+    "delta_log_counts_again": f"""WITH hist AS ({_FULL}) SELECT ts, CAST(sum(i) AS INTEGER) AS n_insertions, CAST(sum(d) AS INTEGER) AS n_deactivations FROM (
+        SELECT from_ts AS ts, 1 AS i, 0 AS d FROM hist WHERE from_ts >= '2024-01-15' UNION ALL SELECT until_ts, 0, 1 FROM hist WHERE until_ts IS NOT NULL) AS c GROUP BY ts""",
+    "literal_late": f"""WITH a AS ({_S[1]}), b AS ({_S[2]}), c AS ({_S[3]}), u AS (SELECT * FROM a UNION SELECT * FROM b UNION SELECT * FROM c),
+        g AS (SELECT *, (k, n, m) IN (SELECT (k, n, m) FROM a) AS in1, (k, n, m) IN (SELECT (k, n, m) FROM b) AS in2, (k, n, m) IN (SELECT (k, n, m) FROM c) AS in3 FROM u)
+        SELECT k, n, m, {_SUM} AS checksum, CASE WHEN in1 THEN '{T1}' WHEN in2 THEN '{T2}' ELSE '{T3}' END AS from_ts, CASE WHEN in1 AND NOT in2 THEN '{T2}' WHEN NOT in3 THEN '{T3}' END AS until_ts FROM g""",
+    "scd_colliding": f"""WITH c AS (SELECT c_custkey, c_nationkey, CASE i WHEN 1 THEN CAST(c_custkey AS VARCHAR) || '_x' WHEN 2 THEN CAST(c_custkey AS VARCHAR) WHEN 3 THEN '' END AS a, CASE i WHEN 1 THEN 'y' WHEN 2 THEN 'x_y' ELSE c_name END AS b FROM customer, (VALUES (1), (2), (3), (4)) AS v(i)),
+        s AS (SELECT DISTINCT a, b FROM c WHERE c_nationkey < 20 AND (c_custkey % 2 = 0 OR a IS NOT NULL)), t AS (SELECT DISTINCT a, b FROM c WHERE c_nationkey >= 5 AND (c_custkey % 3 = 0 OR b <> 'x_y'))
+        SELECT coalesce(s.a, t.a) AS a, coalesce(s.b, t.b) AS b, md5(coalesce(s.a, t.a, '') || '_' || coalesce(s.b, t.b)) AS checksum, CASE WHEN s.b IS NULL THEN '{T2}' ELSE '{T1}' END AS from_ts, CASE WHEN t.b IS NULL THEN '{T2}' END AS until_ts
+        FROM s FULL JOIN t ON s.a IS NOT DISTINCT FROM t.a AND s.b = t.b""",
+    "lock_states": "SELECT * FROM (VALUES ('taken', true), ('renewed', true), ('another''s', false), ('not another''s to give', false), ('listed', true), ('given back', true), ('gone', true), ('free', true)) AS v(step, result)",
+    "index_of_table": f"SELECT k, 'k,from_ts' AS key FROM ({_S[1]}) AS s",
+    "table_ids": "SELECT * FROM (VALUES ('table', 'chronostrata.test.customers', true), ('row', 'chronostrata.test.customers', true), ('text', 'chronostrata.test.customers', true), ('unknown', 'chronostrata.main.none', false), ('schema', 'test', true), ('catalog', 'chronostrata', true)) AS v(what, id, found)",
     "rows_upsert": f"SELECT coalesce(x.k, y.k) AS k, CASE WHEN y.k IS NOT NULL THEN y.m ELSE x.m END AS m FROM {_BASE} AS x FULL JOIN {_EDIT} AS y ON x.k = y.k",
     "rows_update": f"SELECT x.k, CASE WHEN y.k IS NOT NULL THEN y.m ELSE x.m END AS m FROM {_BASE} AS x LEFT JOIN {_EDIT} AS y ON x.k = y.k",
     "rows_patch": f"SELECT x.k, coalesce(x.m, y.m) AS m FROM {_BASE} AS x LEFT JOIN {_EDIT} AS y ON x.k = y.k",
@@ -436,7 +527,7 @@ SQL = {
         FROM ({_S[2]}) AS a FULL JOIN ({_S[3]}) AS b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.n <> b.n OR a.m <> b.m""",
     "slice_max": "SELECT o_orderkey, o_custkey, o_orderpriority FROM (SELECT *, rank() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey DESC) AS r FROM orders) AS q WHERE r = 1",
     "literal_update": _FULL,
-    "checksum_sha256": "SELECT *, sha256(CAST(r_regionkey AS VARCHAR) || '_' || r_name) AS checksum FROM region",
+    "checksum_sha256": f"SELECT *, sha256({_JOINED}) AS checksum FROM {_PEOPLE}",
     "list_tables": "SELECT 'test' AS schema, 'customers' AS \"table\"",
     "table_exists": "SELECT 'test.customers' AS name, true AS found UNION ALL SELECT 'test.none', false",
     "log_table": "SELECT CASE step WHEN 1 THEN '" + T1 + "' WHEN 2 THEN '" + T2 + "' ELSE '" + T3 + "' END AS date, 'test' AS schema, 'customers' AS \"table\", n_insertions, n_deactivations, true AS success FROM (" + " UNION ALL ".join([_CUT(1, _NONE, 1), _CUT(2, _S[1], 2), _CUT(3, _S[2], 3)]) + ") AS c",

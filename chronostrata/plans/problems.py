@@ -104,6 +104,19 @@ def instants_orders(spark: SparkSession, d: str) -> DataFrame:
     return with_instant(o.select("o_orderkey", text.alias("text"), F.lit(1).alias("writer_id")), writers, "text", "us").select("o_orderkey", utc_text("us").alias("utc"))
 
 
+def instants_zones(spark: SparkSession, d: str) -> DataFrame:
+    """Local times around every change of the clocks, in years up to 9999: an hour and a half before and after the European
+    and the American ones, by the zone of the writer or one that the text names, with any padding and fraction."""
+    sunday = lambda month, last: f"date_sub(make_date(y, {month}, {last}), (dayofweek(make_date(y, {month}, {last})) - 1) % 7)"
+    o = load(spark, d, "orders").selectExpr("o_orderkey", "cast(2010 + pmod(o_orderkey * 7919, 7990) AS int) AS y", "cast(o_orderkey % 4 AS int) AS kind", "o_orderkey % 181 - 90 AS minutes")
+    change = f"CASE kind WHEN 0 THEN {sunday(3, 31)} WHEN 1 THEN {sunday(10, 31)} WHEN 2 THEN {sunday(3, 14)} ELSE {sunday(11, 7)} END"
+    local = o.withColumn("local", F.expr(f"cast({change} AS timestamp_ntz) + make_dt_interval(0, 2, 30, 0) + make_dt_interval(0, 0, cast(minutes AS int), 0)"))
+    padded = F.expr("concat(repeat(' ', cast(o_orderkey % 120 AS int)), date_format(local, 'yyyy-MM-dd HH:mm:ss'), '.', repeat('25', cast(1 + o_orderkey % 12 AS int)), CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN kind < 2 THEN ' Europe/Berlin' ELSE ' America/New_York' END ELSE repeat(' ', cast(o_orderkey % 90 AS int)) END)")
+    writers = spark.createDataFrame([(1, "Europe/Berlin", "dmy"), (2, "America/New_York", "mdy"), (3, "Asia/Tokyo", "dmy")], "writer_id int, tz string, date_order string")
+    rows = local.select("o_orderkey", padded.alias("text"), F.expr("CASE WHEN o_orderkey % 3 = 0 THEN 3 WHEN kind < 2 THEN 1 ELSE 2 END").alias("writer_id"))
+    return with_instant(rows, writers, "text", "us").select("o_orderkey", F.length("text").cast("bigint").alias("n"), utc_text("us").alias("utc"))
+
+
 def feed_events(spark: SparkSession, d: str) -> DataFrame:
     """The last event of each user, unless it is a delete; the feed comes in three deliveries out of order."""
     feed = load(spark, d, "events").select("user_id", "event_id", F.expr("event_type = 'error'").alias("gone"), "event_type", "value")
@@ -115,15 +128,27 @@ def feed_events(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found,
-    "merkle_customers": merkle_customers, "changes_customers": changes_customers, "instants_orders": instants_orders, "feed_events": feed_events,
+    "merkle_customers": merkle_customers, "changes_customers": changes_customers, "instants_orders": instants_orders, "instants_zones": instants_zones, "feed_events": feed_events,
 }
 _STEPS = """WITH s AS (SELECT CAST(c_custkey AS VARCHAR) AS k, i AS step,
         CASE WHEN (i = 2 AND c_acctbal < 1500) OR (i = 3 AND c_acctbal < 700) THEN 'CHANGED' WHEN c_acctbal > 9000 THEN NULL ELSE c_mktsegment END AS m
         FROM customer, (VALUES (1), (2), (3)) AS v(i) WHERE (i = 1 AND c_nationkey < 20) OR (i = 2 AND c_nationkey < 23) OR (i = 3 AND c_nationkey >= 2))"""
 _TEXT = "strftime(make_timestamp({}), '%Y-%m-%dT%H:%M:%S.%fZ')"
 
-#: p1, p2, p5 and p6 begin with mixed spellings of instants, which SQL can't read; tests compare them with brute force.
+_SUNDAY = lambda month, last: f"(make_date(y, {month}, {last}) - CAST(dayofweek(make_date(y, {month}, {last})) AS INTEGER))"
+
+#: p1, p2 and p5 begin with mixed spellings of instants, which SQL can't read; tests compare them with brute force. Of p6's ends only
+#: matters whether there is one, and in delta_load each text with a digit is an instant.
 SQL = {
+    "p6_found": """SELECT col1, strftime(from_ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS from_utc, md5(col1 || '_' || coalesce(CAST(col2 AS VARCHAR), '')) AS checksum FROM (
+        SELECT *, row_number() OVER (PARTITION BY col1 ORDER BY from_ts DESC, ended DESC, col2 DESC NULLS LAST) AS n FROM (SELECT col1, col2, from_ts, coalesce(regexp_matches(until_ts, '[0-9]'), false) AS ended FROM delta_load WHERE col1 IS NOT NULL AND from_ts IS NOT NULL) AS r) AS q WHERE n = 1 AND NOT ended""",
+    "instants_zones": f"""WITH o AS (SELECT o_orderkey, CAST(2010 + (o_orderkey * 7919) % 7990 AS INTEGER) AS y, o_orderkey % 4 AS kind, o_orderkey % 181 - 90 AS minutes FROM orders),
+        l AS (SELECT *, CAST(CASE kind WHEN 0 THEN {_SUNDAY(3, 31)} WHEN 1 THEN {_SUNDAY(10, 31)} WHEN 2 THEN {_SUNDAY(3, 14)} ELSE {_SUNDAY(11, 7)} END AS TIMESTAMP) AS day FROM o),
+        t AS (SELECT *, day + to_minutes(150 + minutes) AS local FROM l),
+        u AS (SELECT *, CASE kind WHEN 0 THEN CASE WHEN local < day + INTERVAL 3 HOUR THEN 1 ELSE 2 END WHEN 1 THEN CASE WHEN local < day + INTERVAL 3 HOUR THEN 2 ELSE 1 END
+            WHEN 2 THEN CASE WHEN local < day + INTERVAL 3 HOUR THEN -5 ELSE -4 END ELSE CASE WHEN local < day + INTERVAL 2 HOUR THEN -4 ELSE -5 END END AS offset_h FROM t)
+        SELECT o_orderkey, CAST(o_orderkey % 120 + 20 + 2 * (1 + o_orderkey % 12) + CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN kind < 2 THEN 14 ELSE 17 END ELSE o_orderkey % 90 END AS BIGINT) AS n,
+        strftime(local - to_hours(offset_h) + to_microseconds(CASE WHEN o_orderkey % 12 = 0 THEN 250000 WHEN o_orderkey % 12 = 1 THEN 252500 ELSE 252525 END), '%Y-%m-%dT%H:%M:%S.%fZ') AS utc FROM u""",
     "p3_found": f"""WITH i AS (SELECT key_id, epoch_us(valid_from) AS s, CASE WHEN valid_until IS NULL OR valid_until >= TIMESTAMP '9999-01-01' THEN 9223372036854775807 ELSE epoch_us(valid_until) END AS e
             FROM interlace WHERE key_id IS NOT NULL AND valid_from IS NOT NULL AND (valid_until IS NULL OR valid_until > valid_from)),
         a AS (SELECT *, max(e) OVER (PARTITION BY key_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
