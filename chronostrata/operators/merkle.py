@@ -77,8 +77,7 @@ def changes(snapshots: Snapshots) -> DataFrame:
     """(entity, branch, at, key, h1, h2, was1, was2): each record that differs from the snapshot before; h1 is null where
     it is gone, was1 where it is new."""
     records, path = dated(snapshots.stored()), _path(snapshots.depth)
-    leaves = cut(differing(trees(records, snapshots.depth)))
-    leaves = beside(leaves, leaves.count())
+    leaves = beside(cut(differing(trees(records, snapshots.depth))))
     inside = lambda rows, *names: rows.join(leaves, [*PLACE, "at", *path], "left_semi").select(*PLACE, "at", "key", *[F.col(h).alias(n) for h, n in zip(("h1", "h2"), names, strict=True)])
     now = inside(records.drop("next"), "h1", "h2")
     was = inside(records.where("next IS NOT NULL").withColumn("at", F.col("next")).drop("next"), "was1", "was2")

@@ -35,11 +35,10 @@ class Snapshots:
     calendar: DataFrame
     depth: int
     width: int
-    dates: int
 
     def dated(self, columns: str) -> DataFrame:
         """The records with columns of the calendar."""
-        return self.records.join(beside(self.calendar.select("entity", "branch", "at", *columns.split()), self.dates), ["entity", "branch", "at"])
+        return self.records.join(beside(self.calendar.select("entity", "branch", "at", *columns.split())), ["entity", "branch", "at"])
 
     def stored(self) -> Snapshots:
         """With the records written where they lie, for operators that read them in more than one job."""
@@ -100,18 +99,18 @@ def arranged(records: DataFrame, sizes: DataFrame, best: Column | None = None) -
     if best is not None:
         # repeated rows are reduced where they lie, before anything moves: copies of one record may be a large part of the data
         rows = rows.groupBy("entity", "branch", "at", "key").agg(best.alias("best")).select("entity", "branch", "at", "key", "best.h1", "best.h2")
-    depth, dates = calendar.agg(F.max("depth"), F.count(F.lit(1))).first()
-    return Snapshots(rows.select("entity", "branch", "at", "key", "h1", "h2").repartition(width, "entity", "branch"), calendar, depth or 0, width, dates)
+    depth = calendar.agg(F.max("depth")).first()[0] or 0
+    return Snapshots(rows.select("entity", "branch", "at", "key", "h1", "h2").repartition(width, "entity", "branch"), calendar, depth, width)
 
 
 def delivered(df: DataFrame, writers: DataFrame, entity: str, key: str, text: str, arrival: str, tie: str, payload: list[str], writer: str = "writer_id") -> Snapshots:
     """Every delivered record, one for each key of a snapshot: of repeated ones the last to arrive (ties: the greatest
-    ``tie``; nulls first). Rows without entity, key or readable instant don't count. The table is read twice: once for the
-    spellings of instants and their numbers, which give the calendar, and once for the records."""
+    ``tie``; nulls first). Rows without entity, key or readable instant don't count. The table is read twice: once for
+    the instants alone, which give the calendar, and once for the records."""
     raw = df.where(F.col(entity).isNotNull() & F.col(key).isNotNull())
     read = reader(df.sparkSession, writers, "text", "at", "writer")
     timed = lambda x: read(x).drop("writer", "text").where("at IS NOT NULL")
     names = [F.col(entity).alias("entity"), F.col(text).alias("text"), F.col(writer).alias("writer")]
-    spelled = raw.select(*names).groupBy("entity", "text", "writer").agg(F.count(F.lit(1)).alias("n"))
+    sizes = timed(raw.select(*names)).groupBy("entity", "at").agg(F.count(F.lit(1)).alias("n"))
     rows = raw.select(*names, F.col(key).alias("key"), F.unix_micros(F.col(arrival).cast("timestamp")).alias("arrival"), F.col(tie).alias("tie"), *payload_hashes(payload))
-    return arranged(timed(rows), timed(spelled).groupBy("entity", "at").agg(F.sum("n").alias("n")), F.max(F.struct("arrival", "tie", "h1", "h2")))
+    return arranged(timed(rows), sizes, F.max(F.struct("arrival", "tie", "h1", "h2")))

@@ -100,14 +100,10 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-#: Rows of a narrow table (a few ids) up to which ``beside`` broadcasts it.
-NARROW_ROWS = 100_000
-
-
-def beside(small: DataFrame, rows: int) -> DataFrame:
-    """A narrow table of a known number of rows, as the right side of a join whose left side is large and lies in place: sent
-    to all tasks if it is small, else merged. Spark alone might send the left side around instead, and lose its place."""
-    return F.broadcast(small) if rows <= NARROW_ROWS else small.hint("merge")
+def beside(small: DataFrame) -> DataFrame:
+    """A narrow table as the right side of a join whose left side is large and lies in place: it goes to where the left side
+    lies, and is looked up there without a sort. Spark alone might send the left side around instead."""
+    return small.hint("shuffle_hash")
 
 
 def shuffle_width(spark: SparkSession) -> int:
