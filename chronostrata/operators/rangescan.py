@@ -50,11 +50,12 @@ def entity_columns(df: DataFrame, key: list[str], text: str) -> list[Column]:
     return [F.from_json(text, kind)[f"k{i}"].alias(k) for i, k in enumerate(key)]
 
 
-def ordered(df: DataFrame, by: list[str], rows: int) -> DataFrame:
-    """Globally sorted and materialised, with the partition's number in ``_pid``. ``rows`` is the number of rows, or a bound of
-    it: there are as many partitions as it asks for."""
-    width = max(shuffle_width(df.sparkSession), -(-rows // PARTITION_ROWS))
-    return cut(df.repartitionByRange(width, *by).sortWithinPartitions(*by).withColumn("_pid", F.spark_partition_id()))
+def ordered(df: DataFrame, by: list[str]) -> DataFrame:
+    """Globally sorted and materialised, with the partition's number in ``_pid``. What is sorted is materialised first, so that
+    it is made only once however often it is looked at: to count it, to find the ranges, and to sort it."""
+    rows = cut(df)
+    width = max(shuffle_width(df.sparkSession), -(-rows.count() // PARTITION_ROWS))
+    return cut(rows.repartitionByRange(width, *by).sortWithinPartitions(*by).withColumn("_pid", F.spark_partition_id()))
 
 
 def run(sorted_df: DataFrame, scan: Scan, schema: T.StructType) -> DataFrame:
